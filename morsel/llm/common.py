@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 U64 = np.uint64
 #: Odd multiplier of the word hash; its powers are invertible modulo 2**64.
 _BASE = 0x9E3779B97F4A7C15
-_POW = np.ones(1, dtype=U64)
+_TABLES = {_BASE: np.ones(1, dtype=U64), pow(_BASE, -1, 1 << 64): np.ones(1, dtype=U64)}
 
 SPACE, PUNCT, LETTER = 0, 1, 2
 _CLASS = np.full(256, PUNCT, dtype=np.uint8)
@@ -74,13 +74,13 @@ def mix64(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _powers(n: int) -> np.ndarray:
-    global _POW
-    if len(_POW) < n:
-        p = np.full(max(n, 1 << 16), _BASE, dtype=U64)
+def _powers(base: int, n: int) -> np.ndarray:
+    """At least n powers of an odd base modulo 2**64, from power 0."""
+    if len(_TABLES[base]) < n:
+        p = np.full(max(n, 1 << 16), base, dtype=U64)
         p[0] = 1
-        _POW = np.multiply.accumulate(p)
-    return _POW
+        _TABLES[base] = np.multiply.accumulate(p)
+    return _TABLES[base]
 
 
 def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +101,9 @@ def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     n = len(raw)
     if not len(start):
         return np.zeros(0, dtype=U64)
-    p = _powers(n + 1)
     acc = np.zeros(n + 1, dtype=U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * p[:n], out=acc[1:])
-    h = (acc[end] - acc[start]) * p[n - start]
+    np.cumsum((raw.astype(U64) + U64(1)) * _powers(_BASE, n)[:n], out=acc[1:])
+    h = (acc[end] - acc[start]) * _powers(pow(_BASE, -1, 1 << 64), n)[start]
     return mix64(h ^ ((end - start).astype(U64) << U64(56)))
 
 
