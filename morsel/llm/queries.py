@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from morsel.llm import bpe, decontam, simhash, token_counts
+from morsel.llm import bpe, decontam, quality, simhash, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,5 +29,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_bpe, op5_simhash, op6_decontamination)}
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps, with their scores."""
+    docs = table(spark, sf_dir, "documents")
+    models = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score_documents(docs, models).filter("keep").select("doc_id", "quality_score", "toxic_score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op4_bpe, op5_simhash, op6_decontamination, op9_quality)}
 ORACLES: dict[str, str] = {}
