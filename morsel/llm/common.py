@@ -107,14 +107,17 @@ def hash_spans(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix64(h ^ ((end - start).astype(U64) << U64(56)))
 
 
-def words(raw: np.ndarray, off: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(raw: np.ndarray, off: np.ndarray, punctuation: bool = False, spaced: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, first) of the words of each text: word spans in bytes, and for text i the words first[i] : first[i + 1].
 
-    A word is a run of letters, digits and bytes beyond ASCII; with punctuation, runs of other visible characters count too.
+    A word is a run of letters, digits and bytes beyond ASCII; with punctuation, runs of other visible characters count too;
+    with spaced, it is whatever stands between white space.
     """
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(off), np.int64)
     c = _CLASS[raw]
+    if spaced:
+        c = np.where(c == SPACE, np.uint8(SPACE), np.uint8(LETTER))
     edge = np.empty(len(raw), dtype=bool)
     edge[0] = True
     np.not_equal(c[1:], c[:-1], out=edge[1:])
@@ -149,3 +152,11 @@ def segment_sum(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Sums of values[first[i] : first[i + 1]]; an empty range gives 0."""
     acc = np.concatenate([[0], np.cumsum(values)])
     return acc[first[1:]] - acc[first[:-1]]
+
+
+def run_hash(h: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each run h[start : end] of hashes, the same wherever the run lies."""
+    n = len(h)
+    acc = np.zeros(n + 1, dtype=U64)
+    np.cumsum(h * _powers(_BASE, n)[:n], out=acc[1:])
+    return mix64((acc[end] - acc[start]) * _powers(pow(_BASE, -1, 1 << 64), n + 1)[start] + (end - start).astype(U64))
