@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from morsel.llm import bpe, decontam, quality, simhash, suffix_dedup, token_counts
+from morsel.llm import bpe, brown, decontam, quality, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return brown.score_documents(docs, brown.fit(docs))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps, with their scores."""
     docs = table(spark, sf_dir, "documents")
@@ -40,5 +45,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, models).filter("keep").select("doc_id", "quality_score", "toxic_score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op9_quality)}
 ORACLES: dict[str, str] = {}
