@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from morsel.llm import bpe, brown, decontam, quality, simhash, suffix_dedup, token_counts
+from morsel.llm import ann, bpe, brown, decontam, quality, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.suffix_sums(token_counts.length_histogram(table(spark, sf_dir, "documents")))
 
 
+def op2_additive_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest others of every vector."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
@@ -45,5 +50,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, models).filter("keep").select("doc_id", "quality_score", "toxic_score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_additive_ann, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op9_quality)}
 ORACLES: dict[str, str] = {}
