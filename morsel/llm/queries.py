@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from morsel.llm import ann, bpe, brown, decontam, quality, simhash, suffix_dedup, token_counts
+from morsel.llm import ann, bpe, brown, decontam, link_graph, quality, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,6 +43,10 @@ def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return brown.score_documents(docs, brown.fit(docs))
 
 
+def op8_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_graph.judge_pages(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps, with their scores."""
     docs = table(spark, sf_dir, "documents")
@@ -50,5 +54,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, models).filter("keep").select("doc_id", "quality_score", "toxic_score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_additive_ann, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op9_quality)}
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_additive_ann, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op8_link_graph, op9_quality)}
+ORACLES: dict[str, str] = {"op8_link_graph": link_graph.oracle_sql()}
