@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from morsel.llm import ann, bpe, brown, decontam, link_graph, quality, simhash, suffix_dedup, token_counts
+from morsel.llm import ann, bpe, brown, decontam, link_graph, pii, quality, simhash, suffix_dedup, token_counts
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, models).filter("keep").select("doc_id", "quality_score", "toxic_score")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_additive_ann, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op8_link_graph, op9_quality)}
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold personal data or secrets, with the entities and the redacted text."""
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_additive_ann, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op8_link_graph, op9_quality, op10_pii)}
 ORACLES: dict[str, str] = {"op8_link_graph": link_graph.oracle_sql()}
