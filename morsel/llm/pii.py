@@ -229,9 +229,14 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
 
     def card() -> str:
         s = r.choice("3456") + num(14)
-        s += next(c for c in string.digits if luhn(s + c)) if r.random() < 0.6 else num(1)
+        s += next(c for c in string.digits if luhn(s + c))
         return s if r.random() < 0.8 else "-".join(s[i : i + 4] for i in range(0, 16, 4))
 
+    def unpaid() -> str:
+        """Digits like a card's whose checksum is wrong."""
+        s = num(15)
+        return s + r.choice([c for c in string.digits if not luhn(s + c)])
+
     def phone() -> str:
         a, b, c = r.choice("23456789") + num(2), r.choice(("555", num(3))), num(4)
         return r.choice((f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {num(2, 3)} {num(3)} {num(4)}", f"+{num(11)}", f"+{num(1, 2)}-{a}-{b}-{c}"))
@@ -259,7 +264,7 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
         return r.choice((
             lambda: ("", num(1, 4)), lambda: ("", f"{num(1)}.{num(1)}"), lambda: ("", f"{num(1)}."), lambda: ("", f"{r.randint(1900, 2035)}-{num(2)}-{num(2)}"),
             lambda: ("", f"{num(2)}:{num(2)}"), lambda: ("$", f"{num(1, 3)},{num(3)}.{num(2)}"), lambda: ("version ", r.choice((ip(), f"{num(1)}.{num(1)}.{num(1)}"))),
-            lambda: ("", f"{num(1)}.{num(1)}.{num(1)}"), lambda: (r.choice(("order ", "no. ", "article ", "id ", "#")), num(5, 18)), lambda: ("", r.choice("12789") + num(r.choice((12, 14, 15)))),
+            lambda: ("", f"{num(1)}.{num(1)}.{num(1)}"), lambda: (r.choice(("order ", "no. ", "article ", "id ", "#")), num(5, 18)), lambda: ("", r.choice("12789") + num(r.choice((12, 14, 15)))), lambda: ("", unpaid()), lambda: ("", unpaid()),
             lambda: ("isbn ", f"978-{num(1)}-{num(2)}-{num(6)}-{num(1)}"), lambda: ("", f"{word()}{num(1, 4)}"), lambda: ("", f"@{word()}{num(0, 2)}"), lambda: ("", f"{num(1, 2)}/{num(1, 2)}/{num(2, 4)}"),
             lambda: (r.choice(("commit ", "sha1 ", "md5 ", "revision ", "checksum: ", "blob ")), hexes(r.choice((40, 32, 64)))), lambda: ("", base(4, string.ascii_uppercase) + num(2, 6)),
             lambda: ("", f"{num(1, 3)}%"), lambda: ("", f"{num(2, 3)}-{num(2, 3)}"), lambda: ("key ", num(1, 3)), lambda: ("", base(r.randint(16, 24), string.ascii_uppercase)),
