@@ -222,3 +222,15 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, text_col: str =
     ties = fp.join(nodes, ["hi", "lo"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     groups = connected_components(scratch, scratch.write(pairs.unionByName(ties).distinct(), "pairs"))
     return groups.join(groups.groupBy("group_id").agg(F.count("*").alias("group_size")), "group_id").select("doc_id", "group_id", "group_size")
+
+
+def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs, with all their columns, but one document of each group only: that of the smallest doc_id.
+
+    Rows that are in no group stay, those with a null doc_id among them. Rows that share a doc_id are one document and stay or go
+    together. The ids to drop are a written table, which Spark broadcasts only if its size allows.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash-drop")
+    groups = near_duplicate_groups(docs, radius, text_col, id_col)
+    drop = scratch.write(groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop")), "drop")
+    return docs.join(drop, docs[id_col].cast("long") == drop["__drop"], "left_anti")
