@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from morsel.llm.bpe import RANKS_PATH, encoder
-from morsel.llm.common import blocks
+from morsel.llm.common import Scratch, blocks
 
 #: Lengths of one block of the two-level suffix sum.
 BLOCK = 1024
@@ -54,6 +54,8 @@ def suffix_sums(hist: DataFrame) -> DataFrame:
 
     Two levels, so that no single task holds all lengths: sums of blocks of BLOCK lengths, then sums within each block.
     """
+    # both levels read it: a small written table, or all texts would be encoded twice
+    hist = Scratch(hist.sparkSession, "lengths").write(hist, "histogram")
     h = hist.select(F.col("n_tokens").cast("long"), F.col("n_docs").cast("long")).filter("n_tokens is not null")
     h = h.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / BLOCK))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
