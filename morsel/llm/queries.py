@@ -60,4 +60,4 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_token_counts, op2_additive_ann, op3_suffix_dedup, op4_bpe, op5_simhash, op6_decontamination, op7_brown_lm, op8_link_graph, op9_quality, op10_pii)}
-ORACLES: dict[str, str] = {"op8_link_graph": link_graph.oracle_sql()}
+ORACLES: dict[str, str] = {"op3_suffix_dedup": suffix_dedup.oracle_sql(), "op8_link_graph": link_graph.oracle_sql()}

@@ -3,7 +3,8 @@
 A passage is repeated when the same MIN_WORDS words in a row (white space apart, case and marks as they are) stand at two or
 more places of the corpus. One suffix array of a whole corpus fits no machine, so windows of MIN_WORDS words are first brought
 together exactly: the least hash of the GRAM-word sequences inside a window is a function of its words alone, hence equal
-windows have equal least hashes ("anchors"). Windows in a row with one anchor make a run.
+windows have equal least hashes ("anchors"). Windows in a row with one anchor at one place make a run, so two equal windows
+never stand in one run, not even where a text repeats itself.
 
 1. Every document is read once for its runs: anchor, content hash, place. An anchor of one run has no repeat in it.
 2. Where all runs of an anchor are equal, all their windows are repeated.
@@ -63,7 +64,7 @@ def runs(h: np.ndarray, first: np.ndarray, size: int, gram: int) -> tuple[np.nda
     least = sliding_min(grams, size - gram + 1)
     doc = np.searchsorted(first, np.arange(len(least)), side="right") - 1
     inside = np.arange(len(least)) + size <= first[doc + 1]
-    edge = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1]))
+    edge = np.append(True, (least[1:] != least[:-1]) | (doc[1:] != doc[:-1]) | (inside[1:] != inside[:-1]) | (grams[: len(least) - 1] == least[:-1]))
     begin = np.flatnonzero(edge)
     count = np.diff(np.append(begin, len(least)))
     begin, count = begin[inside[begin]], count[inside[begin]]
@@ -200,3 +201,15 @@ def _first_of_each(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keep = np.append((a[0], c[0]) != last, (a[1:] != a[:-1]) | (c[1:] != c[:-1]))
         last = (a[-1], c[-1])
         yield batch.filter(pa.array(keep)) if not keep.all() else batch
+
+
+def oracle_sql(min_words: int = MIN_WORDS) -> str:
+    """repeated_passages() as DuckDB SQL: every window of every document, grouped."""
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '[^ \\t\\n\\v\\f\\r]+') AS ws FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+    t AS (SELECT r, doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) - 1 AS i FROM d),
+    w AS MATERIALIZED (SELECT doc_id, i, hash(list(word) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND {min_words - 1} FOLLOWING)) AS k FROM t QUALIFY i + {min_words} <= n),
+    c AS (SELECT k, min(doc_id) AS low FROM w GROUP BY k HAVING count(*) > 1),
+    h AS (SELECT doc_id, i, min(low) AS low FROM w JOIN c USING (k) GROUP BY doc_id, i),
+    s AS (SELECT *, CASE WHEN i > lag(i, 1, -{min_words} - 1) OVER (PARTITION BY doc_id ORDER BY i) + {min_words} THEN 1 ELSE 0 END AS fresh FROM h),
+    g AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s)
+    SELECT doc_id, min(i)::INT AS start_word, (max(i) + {min_words})::INT AS end_word, min(low) AS first_doc_id FROM g GROUP BY doc_id, island"""

@@ -72,6 +72,13 @@ def test_runs_hold_every_window_once():
     assert all(len(v) == 1 for v in by.values())
 
 
+def test_texts_that_repeat_themselves(spark):
+    line = " ".join(f"q{i}" for i in range(30))
+    rows = [(1, f"x {line} {line} {line} y"), (2, "aa bb " * 33), (3, " ".join(f"z{i}" for i in range(90))), (4, "cc " * 51), (5, "dd " * 50)]
+    got = sorted(map(tuple, S.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == brute(rows, S.MIN_WORDS) == [(1, 1, 91, 1), (2, 0, 66, 2), (4, 0, 51, 4)]
+
+
 def test_sliding_min():
     x = np.random.default_rng(0).integers(0, 99, 200)
     for w in (1, 2, 3, 7, 8, 35, 200):
