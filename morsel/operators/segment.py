@@ -8,8 +8,9 @@ in SQL operators only: edges by a join of spans with the vocabulary, then an ord
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,22 @@ CACHE, LONGEST = 1_000_000, 64
 _UNIT = re.compile(UNIT)
 
 
+class _Memory(dict):
+    """Ids of units, made when they are first asked for."""
+
+    def __init__(self, make: Callable[[str], tuple[int, ...]]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, unit: str) -> tuple[int, ...]:
+        ids = self.make(unit)
+        if len(unit) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
 @dataclass
 class Segmenter:
     """A vocabulary held by a worker. tokens: bytes to (id, log-probability); the latest of a repeated token counts."""
@@ -32,13 +49,14 @@ class Segmenter:
     tokens: dict[bytes, tuple[int, float]]
     unknown: int = 0
     heads: set[bytes] = field(default_factory=set)
-    cache: dict[str, np.ndarray] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         check_size(max((i for i, _ in self.tokens.values()), default=0))
         self.tokens = {t: (i, np.float32(p)) for t, (i, p) in self.tokens.items()}
         self.heads = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
         self.longest = max(map(len, self.tokens), default=0)
+        self.units = _Memory(lambda u: tuple(self.segment(u.encode())))
+        self.spaced = _Memory(lambda w: self.units[f" {w}"])
 
     def __getstate__(self) -> dict:
         return {"tokens": self.tokens, "unknown": self.unknown}
@@ -93,22 +111,17 @@ class Segmenter:
             at = back[at]
         return ids[::-1], done
 
-    def unit(self, u: str) -> np.ndarray:
-        ids = self.cache.get(u)
-        if ids is None:
-            ids = np.array(self.segment(u.encode()), dtype=np.int32)
-            if len(u) <= LONGEST:
-                if len(self.cache) >= CACHE:
-                    self.cache.clear()
-                self.cache[u] = ids
-        return ids
-
     def encode(self, text: str, whole: bool = False) -> np.ndarray:
         """Ids of a text; whole: as one stretch, without cutting it into units."""
         if whole:
             return np.array(self.segment(text.encode()), dtype=np.int32)
-        parts = [self.unit(u) for u in _UNIT.findall(text)]
-        return np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        if "  " in text:
+            parts = map(self.units.__getitem__, _UNIT.findall(text))
+        else:
+            # single spaces only: each begins a unit, the last one may stand alone
+            head, *rest = text.split(" ")
+            parts = chain((self.units[head],), map(self.spaced.__getitem__, rest))
+        return np.array(list(chain.from_iterable(parts)), dtype=np.int32)
 
 
 def collect_segmenter(vocab: DataFrame) -> Segmenter:
