@@ -83,14 +83,14 @@ def train(rows: list[tuple[np.ndarray, float]], head: Head) -> Model:
     data = []
     for place, y in rows:
         at, c = np.unique(place, return_counts=True)
-        data.append((at, np.ones(len(at)) if head.presence else c / np.sqrt(max(1, len(place))), y))
+        data.append((at, 1.0 if head.presence else (c / np.sqrt(max(1, len(place)))).astype(np.float32), y))
     weight = lambda z, n: np.where(np.abs(z) <= head.l1, 0.0, (np.sign(z) * head.l1 - z) / ((BETA + np.sqrt(n)) / head.alpha + L2))
     for _ in range(head.epochs):
         for at, x, y in data:
             zi, ni = z[at], n[at]
             w = weight(zi, ni)
             b = -bz / ((BETA + np.sqrt(bn)) / head.alpha)
-            d = 1 / (1 + np.exp(-np.clip(w @ x + b, -35, 35))) - y
+            d = 1 / (1 + np.exp(-np.clip((w * x).sum() + b, -35, 35))) - y
             g = d * x
             z[at] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / head.alpha * w
             n[at] = ni + g * g
@@ -108,8 +108,11 @@ def _fit(rows: list[tuple[np.ndarray, float]], head: Head) -> Model:
 
 def _features_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        place, off = features(batch.column(batch.num_columns - 1))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(place))], names=[*batch.schema.names[:-1], "place"])
+        # in blocks, as hashing holds tables as long as the bytes that it is given
+        for i, j in blocks(np.diff(text_buffer(batch.column(batch.num_columns - 1))[1]), 1 << 21):
+            part = batch.slice(i, j - i)
+            place, off = features(part.column(part.num_columns - 1))
+            yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), pa.array(place))], names=[*part.schema.names[:-1], "place"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text", id_col: str = "doc_id") -> dict[str, Model]:
