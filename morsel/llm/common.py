@@ -1,4 +1,4 @@
-"""Shared pieces: where intermediate tables go, and whole-column numpy views of Arrow text.
+"""Shared pieces: whole-column numpy views of Arrow text.
 
 Text operators here read Arrow string columns as one byte buffer plus offsets, so that
 tokenizing and hashing cost a few numpy passes a batch rather than Python work a word.
@@ -6,14 +6,12 @@ tokenizing and hashing cost a few numpy passes a batch rather than Python work a
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+
+from morsel.scratch import Scratch  # noqa: F401
 
 U64 = np.uint64
 #: Odd multiplier of the word hash; its powers are invertible modulo 2**64.
@@ -27,42 +25,6 @@ for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _CLASS[_a:_b] = LETTER
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a temporary one in local mode only."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not found:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="morsel-")
-        sc.setCheckpointDir(found)
-    return found
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session has ended; the folder is the cluster's to clear
-        pass
-
-
-class Scratch:
-    """Intermediate tables in the shared folder; they survive the loss of any executor and cut lineage."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-        atexit.register(_remove, spark, self.root)
-
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """df as a written table, read again."""
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
-
-    def drop(self, name: str) -> None:
-        _remove(self.spark, f"{self.root}/{name}")
-
-
 def mix64(h: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit of 64-bit values."""
     h = h.astype(U64, copy=True)
