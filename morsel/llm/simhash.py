@@ -7,7 +7,7 @@ the connected components.
 The fingerprint is cut into m segments. With radius = m * q + a, two fingerprints within the radius agree within q bits on
 one of the first a + 1 segments or within q - 1 bits on one of the others (Norouzi, Punjani, Fleet), so the Hamming balls of
 these sizes, enumerated in every segment, meet every pair: the search is exact. A node is a distinct fingerprint, so
-thousands of exact copies are one node. Nodes go to one task a segment and high segment bits; the flips of high bits are
+thousands of exact copies are one node. Nodes go to one task a segment, high segment bits and tile of queries, of a size that doesn't follow the input; the flips of high bits are
 enumerated as rows, those of low bits inside the task, where matches are table slices and full distances are popcounts.
 A task emits a spanning forest of its verified pairs, never all of them.
 
@@ -20,6 +20,7 @@ are ignored; an empty table has no groups.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ from morsel.llm.common import U64, Scratch, blocks, hash_spans, mix64, ranges, t
 from morsel.llm.components import connected_components
 
 BITS, RADIUS = 128, 20
-#: High bits of a segment that name its task.
-HIGH = 6
+#: Rows that a task should hold.
+MOST = 1_000_000
 _LANES = np.array([sum(((b >> k) & 1) << (8 * k) for k in range(8)) for b in range(256)], dtype=U64)
 
 
@@ -103,6 +104,16 @@ def plan_segments(n: int, radius: int) -> list[tuple[int, int, int]]:
     return [(edge[k], edge[k + 1] - edge[k], q - (k > a)) for k in range(m)]
 
 
+def plan_tasks(n: int, segments: list[tuple[int, int, int]], most: int = MOST) -> tuple[int, int]:
+    """(high, tiles): the high bits of a segment that name its tasks, and the parts that the queries of a task are cut into.
+
+    Tables shrink with high bits and queries with tiles, each of which holds the whole table; both follow the nodes.
+    """
+    high = min(12, max(6, int(max(n, 1)).bit_length() - most.bit_length()))
+    asked = max((sum(math.comb(high, k) for k in range(min(ball, high) + 1)) for _, _, ball in segments), default=1) / 2
+    return high, max(1, math.ceil(n * asked / (1 << high) / most))
+
+
 def _segment(hi: np.ndarray, lo: np.ndarray, shift: int, width: int) -> np.ndarray:
     mask = U64((1 << width) - 1)
     if shift >= 64:
@@ -139,13 +150,13 @@ def _forest(a: np.ndarray, b: np.ndarray, parent: dict[int, int]) -> list[tuple[
     return kept
 
 
-def match(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, home: np.ndarray, spent: np.ndarray, low: np.ndarray, low_bits: int, ball: int, radius: int, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Verified pairs of one task: home rows are the table, every row a query with ball - spent flips of low bits left."""
+def match(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, home: np.ndarray, spent: np.ndarray, low: np.ndarray, low_bits: int, ball: int, radius: int, asks: np.ndarray, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Verified pairs of one task: home rows are the table, rows that ask are queries with ball - spent flips of low bits left."""
     table = np.flatnonzero(home)
     table = table[np.argsort(low[table], kind="stable")]
     keys = low[table]
     for flips, masks in _balls(low_bits, ball).items():
-        ask = np.flatnonzero(spent + flips <= ball)
+        ask = np.flatnonzero((spent + flips <= ball) & asks)
         if not len(ask) or not len(table):
             continue
         for mask in masks:
@@ -167,45 +178,50 @@ def match(node: np.ndarray, hi: np.ndarray, lo: np.ndarray, home: np.ndarray, sp
                     yield node[left[ok]], node[right[ok]]
 
 
-def _rows(nodes: DataFrame, segments: list[tuple[int, int, int]]) -> DataFrame:
-    """A home row a segment and node, and a row for each flip of high bits that a nearer segment value may lie behind."""
+def _rows(nodes: DataFrame, segments: list[tuple[int, int, int]], high_bits: int, tiles: int) -> DataFrame:
+    """A home row a segment, node and tile, which asks in the node's own tile; and there a row for each flip of high bits that
+    a nearer segment value may lie behind."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             node = batch.column(0).to_numpy()
             hi, lo = (batch.column(k).to_numpy().view(U64) for k in (1, 2))
+            own = (mix64(hi ^ (lo * U64(0x9E3779B97F4A7C15))) % U64(tiles)).astype(np.int32)
             for s, (shift, width, ball) in enumerate(segments):
                 if ball < 0:
                     continue
-                high = (_segment(hi, lo, shift, width) >> U64(width - HIGH)).astype(np.int64)
-                for flips, masks in _balls(HIGH, min(ball, HIGH)).items():
+                high = (_segment(hi, lo, shift, width) >> U64(width - high_bits)).astype(np.int64)
+                for flips, masks in _balls(high_bits, min(ball, high_bits)).items():
                     for mask in masks:
                         to = high ^ mask
                         # a pair in two tasks is found in the one of the larger value only
-                        go = to >= high
-                        if go.any():
-                            cols = [np.full(int(go.sum()), s, np.int32), to[go].astype(np.int32), np.full(int(go.sum()), flips, np.int32), node[go], hi[go].view(np.int64), lo[go].view(np.int64)]
-                            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["segment", "high", "spent", "node", "hi", "lo"])
+                        go = np.flatnonzero(to >= high)
+                        for tile in range(1 if flips else tiles):
+                            if len(go):
+                                at = own[go] if flips else np.full(len(go), tile, np.int32)
+                                cols = [np.full(len(go), s, np.int32), to[go].astype(np.int32), at, at == own[go], np.full(len(go), flips, np.int32), node[go], hi[go].view(np.int64), lo[go].view(np.int64)]
+                                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["segment", "high", "tile", "asks", "spent", "node", "hi", "lo"])
 
-    return nodes.mapInArrow(run, "segment int, high int, spent int, node long, hi long, lo long")
+    return nodes.mapInArrow(run, "segment int, high int, tile int, asks boolean, spent int, node long, hi long, lo long")
 
 
-def near_pairs(nodes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
+def near_pairs(nodes: DataFrame, n: int, radius: int = RADIUS, most: int = MOST) -> DataFrame:
     """(a, b): verified pairs that join the near-duplicates among nodes (node, hi, lo) of distinct fingerprints."""
     segments = plan_segments(n, radius)
+    high_bits, tiles = plan_tasks(n, segments, most)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         shift, width, ball = segments[int(pdf["segment"].iloc[0])]
         hi, lo = pdf["hi"].to_numpy().view(U64), pdf["lo"].to_numpy().view(U64)
-        low = (_segment(hi, lo, shift, width) & U64((1 << (width - HIGH)) - 1)).astype(np.int64)
+        low = (_segment(hi, lo, shift, width) & U64((1 << (width - high_bits)) - 1)).astype(np.int64)
         spent = pdf["spent"].to_numpy()
         parent: dict[int, int] = {}
         kept = []
-        for a, b in match(pdf["node"].to_numpy(), hi, lo, spent == 0, spent, low, width - HIGH, ball, radius):
+        for a, b in match(pdf["node"].to_numpy(), hi, lo, spent == 0, spent, low, width - high_bits, ball, radius, pdf["asks"].to_numpy()):
             kept += _forest(a, b, parent)
         return pd.DataFrame(kept, columns=["a", "b"], dtype=np.int64)
 
-    return _rows(nodes, segments).groupBy("segment", "high").applyInPandas(run, "a long, b long").distinct()
+    return _rows(nodes, segments, high_bits, tiles).groupBy("segment", "high", "tile").applyInPandas(run, "a long, b long").distinct()
 
 
 def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:

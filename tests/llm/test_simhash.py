@@ -4,7 +4,7 @@ import pytest
 
 from morsel.llm.common import U64, Scratch, hash_spans, words, text_buffer
 from morsel.llm.components import connected_components
-from morsel.llm.simhash import BITS, RADIUS, fingerprints, near_duplicate_groups, near_pairs, plan_segments
+from morsel.llm.simhash import BITS, MOST, RADIUS, fingerprints, near_duplicate_groups, near_pairs, plan_segments, plan_tasks
 
 DOC = "doc_id long, text string"
 
@@ -53,8 +53,16 @@ def test_pairs_against_brute_force(spark, radius):
     d = np.bitwise_count(u[:, None] ^ u[None]).sum(-1)
     want = groups_of([(i, j) for i, j in np.argwhere(d <= radius).tolist() if i < j])
     df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(fp)], "node long, hi long, lo long")
-    got = [(r.a, r.b) for r in near_pairs(df, len(fp), radius).collect()]
-    assert all(d[a, b] <= radius for a, b in got) and groups_of(got) == want
+    for most in (MOST, 40, 2):
+        got = [(r.a, r.b) for r in near_pairs(df, len(fp), radius, most).collect()]
+        assert all(d[a, b] <= radius for a, b in got) and groups_of(got) == want
+
+
+def test_tasks_follow_the_nodes():
+    assert plan_tasks(200_000, plan_segments(200_000, RADIUS)) == (6, 1) and plan_tasks(300, plan_segments(300, RADIUS), 2)[0] == 7
+    for n in (10**7, 10**9):
+        high, tiles = plan_tasks(n, plan_segments(n, RADIUS))
+        assert tiles > 1 and n / (1 << high) < 2 * MOST
 
 
 def test_components(spark):
