@@ -4,16 +4,17 @@ A vector is the sum of one full-dimensional codeword from each of BOOKS codebook
 
 1. Codebooks start as residual k-means over START rows of least hashed id (first values only). Then, ROUNDS times, every row is
    encoded by beam search and all codebooks are solved together by least squares over the counts of all rows.
-2. Each row is stored as its code, its squared norm, and the norm of its error, in the cell of the nearest of about
-   sqrt(n) / 32 centres; cells of more than BLOCK rows are cut into parts by hashed id.
+2. Each row x is stored as its code, the squared norm of the sum s of its codewords, and the norm of its error e = x - s, in
+   the cell of the nearest of about sqrt(n) / 32 centres; cells of more than BLOCK rows are cut into parts by hashed id.
 3. Each row asks its own part first. Dot products with all codewords make its lookup table; the score of a row is
-   |q|^2 + |x|^2 - 2 * (table sums), off by 2 q.e only. Rows whose score less SIGMAS standard deviations of that (|q| |e| / sqrt(d))
-   is within the k-th exact distance found are compared exactly.
+   |q - s|^2 = |q|^2 + |s|^2 - 2 * (table sums). Exact distances of the k best scores bound the k-th distance. As
+   |q - x| >= |q - s| - |e| whatever e depends on, only rows with |q - s| - |e| within that bound are compared exactly.
 4. Then it asks the parts of every cell that can hold a nearer row: those for which (distance to centre - radius) is within
-   its k-th distance. This bound is exact, so the only loss is by SIGMAS. On vectors without any cluster structure no cell can
-   be ruled out, and all pairs are scored by table.
+   its k-th distance.
 
-Nothing is cut off by count: candidates are all rows within the margin, at every size. Tasks are tiles of at most about BLOCK rows by QUERIES queries.
+Both bounds are exact, so the neighbours are those of brute force, copies included. On vectors without any cluster structure
+they rule out little: all pairs are scored by table and most are compared. Tasks are tiles of at most about BLOCK rows by
+QUERIES queries.
 
 Cases: a null vector or id, another dimension than the most common (the least of equals), null, infinite or NaN elements: no
 row, neither as query nor as neighbour; rows that share an id are one vector, the least; ties in distance go to the smaller id;
@@ -35,7 +36,9 @@ from pyspark.sql import functions as F
 from morsel.llm.common import Scratch, ranges
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 64, 8, 2
-START, BLOCK, QUERIES, SIGMAS = 8192, 8192, 65536, 3.5
+START, BLOCK, QUERIES = 8192, 8192, 65536
+#: Relative rounding error allowed to single precision.
+ROUNDING = 1e-5
 
 
 @dataclass
@@ -100,7 +103,17 @@ def decode(code: np.ndarray, books: np.ndarray) -> np.ndarray:
     return out
 
 
-def search_block(base: np.ndarray, code: np.ndarray, norm: np.ndarray, err: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, tau: np.ndarray | None, k: int, books: np.ndarray, sigmas: float = SIGMAS, chunk: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _exact(base: np.ndarray, row: np.ndarray, q: np.ndarray, col: np.ndarray, most: int = 1 << 22) -> np.ndarray:
+    """Squared distances of pairs in double precision, a bounded number of pairs at a time."""
+    out = np.empty(len(row))
+    step = max(1, most // base.shape[1])
+    for i in range(0, len(row), step):
+        gap = base[row[i : i + step]].astype(np.float64) - q[col[i : i + step]]
+        out[i : i + step] = np.einsum("ij,ij->i", gap, gap)
+    return out
+
+
+def search_block(base: np.ndarray, code: np.ndarray, norm: np.ndarray, err: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, tau: np.ndarray | None, k: int, books: np.ndarray, chunk: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, squared distances, ids): the k nearest rows of a block for each query, itself apart.
 
     tau: squared distances that are of interest for each query; None: those of the k first by score bound the rest.
@@ -108,7 +121,9 @@ def search_block(base: np.ndarray, code: np.ndarray, norm: np.ndarray, err: np.n
     m, words, d = books.shape
     flat = books.reshape(m * words, d)
     place = code.astype(np.int64) + words * np.arange(m)
-    base64 = base.astype(np.float64)
+    base_norm = (base.astype(np.float64) ** 2).sum(1).astype(np.float32)
+    # codewords may be longer than their sums, and rounding goes by their lengths
+    longest = float(np.linalg.norm(books, axis=2).max(1).sum())
     for i in range(0, len(q), chunk):
         part = q[i : i + chunk].astype(np.float32)
         lut = flat @ part.T
@@ -124,16 +139,23 @@ def search_block(base: np.ndarray, code: np.ndarray, norm: np.ndarray, err: np.n
         if tau is None:
             w = min(k, len(base))
             first = np.argpartition(score, w - 1, axis=0)[:w] if w < len(base) else np.arange(len(base))[:, None].repeat(len(part), 1)
-            exact = ((base64[first] - part.astype(np.float64)) ** 2).sum(2)
+            exact = _exact(base, first.ravel(), part, np.tile(np.arange(len(part)), w)).reshape(first.shape)
             exact[np.take_along_axis(own, first, 0)] = np.inf
             limit = exact.max(0) if w == k else np.full(len(part), np.inf)
         else:
             limit = tau[i : i + chunk]
-        slack = (2 * sigmas / math.sqrt(d)) * err
-        ok = score <= (limit + 1e-5 * (1 + qn))[None, :] + slack[:, None] * np.sqrt(qn)
+        slack = ROUNDING * (longest + np.sqrt(qn)) ** 2
+        ok = score <= (np.sqrt(limit).astype(np.float32) + err[:, None]) ** 2 + slack
         ok &= ~own
+        # where many rows are left, one product rules out those that rounding leaves no doubt about
+        if np.count_nonzero(ok) > ok.size // 32:
+            near = base @ part.T
+            near *= -2
+            near += base_norm[:, None]
+            near += qn
+            ok &= near <= limit + ROUNDING * (base_norm[:, None] + qn)
         col, row = np.nonzero(ok.T)
-        dist = ((base64[row] - part[col].astype(np.float64)) ** 2).sum(1)
+        dist = _exact(base, row, part, col)
         order = np.lexsort((ids[row], dist, col))
         col, row, dist = col[order], row[order], dist[order]
         edge = np.searchsorted(col, np.arange(len(part) + 1))
@@ -203,7 +225,7 @@ def fit(rows: DataFrame, n: int, books: int = BOOKS, words: int = WORDS, rounds:
 
 
 def encode_rows(rows: DataFrame, codec: Codec) -> DataFrame:
-    """(vec_id, v, code, norm, err, cell, away): what is stored of each row; away is its distance from the centre of its cell."""
+    """(vec_id, v, code, norm, err, cell, away): what is stored of each row; norm and err are those of its codewords' sum and of the rest, away its distance from the centre of its cell."""
     held = rows.sparkSession.sparkContext.broadcast(codec)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,10 +233,11 @@ def encode_rows(rows: DataFrame, codec: Codec) -> DataFrame:
         for b in it:
             x = _matrix(b.column(1).to_pylist(), c.books.shape[2])
             code = encode(x, c.books)
-            err = np.linalg.norm(x - decode(code, c.books), axis=1)
+            near = decode(code, c.books)
+            err = np.linalg.norm(x - near, axis=1)
             cell = _squares(x, c.centres).argmin(1)
             away = np.linalg.norm(x.astype(np.float64) - c.centres[cell], axis=1)
-            cols = [b.column(0), b.column(1), pa.array([r.tobytes() for r in code], pa.binary()), pa.array((x * x).sum(1)), pa.array(err.astype(np.float32)), pa.array(cell.astype(np.int32)), pa.array(away)]
+            cols = [b.column(0), b.column(1), pa.array([r.tobytes() for r in code], pa.binary()), pa.array((near * near).sum(1)), pa.array(err.astype(np.float32)), pa.array(cell.astype(np.int32)), pa.array(away)]
             yield pa.RecordBatch.from_arrays(cols, names=["vec_id", "v", "code", "norm", "err", "cell", "away"])
 
     return rows.mapInArrow(run, "vec_id long, v binary, code binary, norm float, err float, cell int, away double")
@@ -227,7 +250,7 @@ def _block(pdf: pd.DataFrame, d: int, m: int) -> tuple[np.ndarray, ...]:
     return _matrix(pdf["v"], d), _matrix(pdf["code"], m, np.uint8), pdf["norm"].to_numpy(), pdf["err"].to_numpy(), pdf["vec_id"].to_numpy()
 
 
-def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", sigmas: float = SIGMAS, block: int = BLOCK) -> DataFrame:
+def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
     """(vec_id, rank, neighbour_id, distance): the k nearest others of every vector by Euclidean distance."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
@@ -247,7 +270,7 @@ def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col:
     def own(pdf: pd.DataFrame) -> pd.DataFrame:
         base, code, norm, err, ids = _block(pdf, d, m)
         found, tau = [], []
-        for _, dist, near in search_block(base, code, norm, err, ids, base, ids, None, k, held.value.books, sigmas):
+        for _, dist, near in search_block(base, code, norm, err, ids, base, ids, None, k, held.value.books):
             found.append([{"distance": a, "neighbour_id": b} for a, b in zip(dist.tolist(), near.tolist())])
             tau.append(float(dist[-1]) if len(dist) == k else float("inf"))
         return pd.DataFrame({"vec_id": ids, "v": pdf["v"], "cell": pdf["cell"], "part": pdf["part"], "tau": tau, "found": found})
@@ -279,7 +302,7 @@ def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col:
             return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "found": pd.Series(dtype="object")})
         q_ids = q_pdf["vec_id"].to_numpy()
         keys, found = [], []
-        for i, dist, near in search_block(*_block(base_pdf, d, m), _matrix(q_pdf["v"], d), q_ids, q_pdf["tau"].to_numpy(), k, held.value.books, sigmas):
+        for i, dist, near in search_block(*_block(base_pdf, d, m), _matrix(q_pdf["v"], d), q_ids, q_pdf["tau"].to_numpy(), k, held.value.books):
             if len(dist):
                 keys.append(q_ids[i])
                 found.append([{"distance": a, "neighbour_id": b} for a, b in zip(dist.tolist(), near.tolist())])

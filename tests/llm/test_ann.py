@@ -59,3 +59,20 @@ def test_beam_search_is_no_worse_than_greedy():
     books = ann.start_books(x, 6, 16)
     loss = lambda beam: ((x - ann.decode(ann.encode(x, books, beam), books)) ** 2).sum(1).mean()
     assert loss(8) < loss(1) < (x * x).sum(1).mean()
+
+
+@pytest.mark.parametrize("d, block", [(64, 500), (256, ann.BLOCK)])
+def test_groups_of_more_than_k_copies(spark, monkeypatch, d, block):
+    # few words leave errors as large as those of many rows
+    monkeypatch.setattr(ann, "fit", lambda rows, n, fit=ann.fit: fit(rows, n, 2, 4))
+    g = np.random.default_rng(5)
+    x = np.concatenate([np.repeat(g.normal(size=(40, d)), 15, axis=0), g.normal(size=(900, d))]).astype(np.float32)
+    got = found(ann.neighbours(frame(spark, x), 10, block=block))
+    assert len(got) == 1500 and all(len(v) == 10 for v in got.values())
+    # copies first, by id; then exactly the neighbours of brute force
+    for i in range(600):
+        own = i - i % 15
+        assert got[i] == [(j, 0.0) for j in range(own, own + 15) if j != i][:10]
+    for i in range(600, 1500):
+        dist = np.delete(np.linalg.norm(x.astype(np.float64) - x[i], axis=1), i)
+        assert np.allclose([y for _, y in got[i]], np.sort(dist)[:10])
