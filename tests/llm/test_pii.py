@@ -69,3 +69,19 @@ def test_tables(spark):
 def test_batches_do_not_matter(model):
     texts = [f"n {i} mail{i}@x.org id {i * 7919} " for i in range(50)]
     assert found(model, *texts) == [found(model, t)[0] for t in texts]
+
+
+def test_evidence_reaches_the_end_of_a_long_chain():
+    n = 60
+    unary, pair = np.zeros((n, pii.L)), np.zeros((2, pii.L, pii.L))
+    unary[0, 5] = 8
+    pair[1] = 6 * np.eye(pii.L)
+    edges = np.array([[i, i + 1, 1] for i in range(n - 1)])
+    step = np.exp(pair[1]) / np.exp(pair[1]).sum(1, keepdims=True)
+    p = np.exp(unary[0]) / np.exp(unary[0]).sum()
+    want = [p @ np.linalg.matrix_power(step, i) for i in range(n)]
+    assert want[-1].argmax() == 5 and want[-1][5] > want[-1][0] + 0.001
+    assert np.allclose(np.exp(pii.propagate(unary, edges, pair)[0]), want, atol=1e-5)
+    # what else is in the batch doesn't matter
+    two = pii.propagate(np.concatenate([unary, np.ones((3, pii.L))]), np.concatenate([edges, [[n, n + 1, 0]]]), pair)[0]
+    assert np.array_equal(two[:n], pii.propagate(unary, edges, pair)[0])
