@@ -2,15 +2,19 @@
 
 P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
 
-1. All words of all documents are counted. Those that make up at least MIN_SHARE of the corpus are the vocabulary, so it
-   never has more than 1 / MIN_SHARE words, and is held by every worker, whatever the input. Each other word belongs to one of
-   KINDS classes by its length and letters.
+1. All words of all documents are counted, and every one is in the model. Those that make up at least MIN_SHARE of the corpus
+   are frequent: never more than 1 / MIN_SHARE words, held by every worker. The others are a table that grows with the input;
+   while the frequent ones are clustered they stand in one of KINDS classes by their length and letters.
 2. All pairs of neighbours are counted, documents beginning and ending with a boundary.
 3. Exchange clustering (Kneser and Ney; Martin, Liermann and Ney): a sweep takes the words from the most frequent down and
    moves each to the class that raises the likelihood of all pairs most. Counts of words with classes come from the pair
    table in Spark before each sweep; class counts follow every move. Sweeps end when the exact likelihood no longer rises.
-4. Class transitions are absolutely discounted towards class frequencies, words emitted by frequency in their class, and a word
-   of a rare class with 1 / (distinct words of the class + 1), which leaves room for an unseen one.
+4. Then each rarer word moves by one exchange step, in Spark, to the class that raises the likelihood most while the counts of
+   the clustering stay fixed; its neighbours that are rare themselves count as their kinds in that step. Counts of class pairs
+   are then taken anew from all words.
+5. Class transitions are absolutely discounted towards class frequencies, and every word is emitted by its own count in its
+   class. Words are joined to documents by tables. A word that training never saw has the class of its kind, which backing off
+   alone leads to. build_vocabulary() and estimate() without a table emit a word of a kind with 1 / (distinct words + 1).
 
 Cases: a null text has null figures; an empty one only the boundary pair; repeated rows are counted and scored each; a null
 doc_id is scored as any other; other columns are ignored; an empty table gives a uniform model and no rows.
@@ -19,7 +23,7 @@ doc_id is scored as any other; other columns are ignored; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -115,7 +119,7 @@ def _lowered(docs: DataFrame, text_col: str, id_col: str | None = None) -> DataF
 
 
 def build_vocabulary(docs: DataFrame, scratch: Scratch, min_share: float = MIN_SHARE, text_col: str = "text") -> Vocabulary:
-    """Exact counts of all words; what reaches the driver is bounded by 1 / min_share rows and KINDS sums."""
+    """Frequent words. Exact counts of all words; what reaches the driver is bounded by 1 / min_share rows and KINDS sums."""
     slim = _lowered(docs, text_col).filter("text is not null")
     counted = slim.mapInArrow(lambda it: _counted(tokens(t)[0] for t, _ in _blocks_of(it)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     counted = scratch.write(counted, "words")
@@ -245,26 +249,125 @@ def cluster(pairs: DataFrame, voc: Vocabulary, n_classes: int = CLASSES, sweeps:
     return *best, history
 
 
+def _rare_neighbours(texts: Iterator[tuple[pa.Array, pa.RecordBatch]], voc: Vocabulary, classes: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
+    """(key, cell, n) of rare words: cell is the class of the word after, or total + that of the word before."""
+    n = len(voc.codes)
+    for text, _ in texts:
+        ids, code = _coded(text, voc)[:2]
+        at = np.flatnonzero((ids >= n) & (ids < voc.boundary))
+        key, cell = np.concatenate([code[at], code[at]]), np.concatenate([classes[ids[at + 1]], total + classes[ids[at - 1]]])
+        yield _grouped(key, cell, "cell", pa.int32())
+
+
+def _rare_pairs(texts: Iterator[tuple[pa.Array, pa.RecordBatch]], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """(key, next, n) of neighbours that are both rare."""
+    for text, _ in texts:
+        ids, code = _coded(text, voc)[:2]
+        rare = (ids >= len(voc.codes)) & (ids < voc.boundary)
+        at = np.flatnonzero(rare[:-1] & rare[1:])
+        yield _grouped(code[at], code[at + 1].view(np.int64), "next", pa.int64())
+
+
+def _grouped(key: np.ndarray, other: np.ndarray, name: str, kind: pa.DataType) -> pa.RecordBatch:
+    order = np.lexsort((other, key))
+    key, other = key[order], other[order]
+    at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (other[1:] != other[:-1]))) if len(key) else np.zeros(0, np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(other[at], kind), pa.array(np.diff(np.append(at, len(key))))], names=["key", name, "n"])
+
+
+def _coded(text: pa.Array, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and word codes of each text between two boundaries, and n + 1 offsets."""
+    code, first = tokens(text)
+    n = len(first) - 1
+    ids, codes = np.full(len(code) + 2 * n, voc.boundary, dtype=np.int64), np.zeros(len(code) + 2 * n, dtype=U64)
+    word = np.arange(len(code)) + 2 * np.repeat(np.arange(n), np.diff(first)) + 1
+    ids[word], codes[word] = voc.ids(code), code
+    return ids, codes, first + 2 * np.arange(n + 1)
+
+
+def place(key_of: np.ndarray, cell: np.ndarray, n: np.ndarray, words: int, grid: np.ndarray, movable: int) -> np.ndarray:
+    """Class of each word by one exchange step against fixed counts of class pairs.
+
+    Entries: the word (ascending), the class after it or total + the class before it, and the count.
+    """
+    total = len(grid)
+    both = np.concatenate([grid[:movable].T, grid[:, :movable]]).astype(np.float64)
+    base = _xlogx(both)
+    gain = np.zeros((words, movable))
+    first = np.flatnonzero(np.append(True, key_of[1:] != key_of[:-1])) if len(key_of) else np.zeros(0, np.int64)
+    if len(first):
+        gain[key_of[first]] = np.add.reduceat(_xlogx(both[cell] + n[:, None]) - base[cell], first, axis=0)
+    for side, sums in ((cell < total, grid[:movable].sum(1)), (cell >= total, grid[:, :movable].sum(0))):
+        s = np.bincount(key_of[side], weights=n[side], minlength=words)
+        gain -= _xlogx(sums + s[:, None]) - _xlogx(sums)
+    return gain.argmax(1)
+
+
+def place_rare(docs: DataFrame, voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, n_classes: int, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """(key, class, n) of all rare words, counts of class pairs with each in its class, and the words' counts by class."""
+    total = len(grid)
+    held = docs.sparkSession.sparkContext.broadcast((voc, classes, grid))
+    slim = _lowered(docs, text_col).filter("text is not null")
+    near = slim.mapInArrow(lambda it: _rare_neighbours(_blocks_of(it), *held.value[:2], total), "key long, cell int, n long").groupBy("key", "cell").agg(F.sum("n").alias("n"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            for i in range(0, len(batch), 4096):
+                b = batch.slice(i, 4096)
+                size = np.diff(b.column(1).offsets.to_numpy())
+                x = b.column(1).flatten()
+                cell, n = x.field("cell").to_numpy(), x.field("n").to_numpy()
+                word = np.repeat(np.arange(len(b)), size)
+                to = place(word, cell, n, len(b), held.value[2], n_classes)
+                count = np.bincount(word[cell < total], weights=n[cell < total], minlength=len(b)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to.astype(np.int32)), pa.array(count), b.column(1)], names=["key", "class", "n", "near"])
+
+    kind = "array<struct<cell:int,n:bigint>>"
+    listed = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("near"))
+    rare = scratch.write(listed.mapInArrow(run, f"key long, class int, n long, near {kind}"), "rare")
+    full = grid.copy()
+    kinds = slice(n_classes, n_classes + KINDS)
+    full[kinds] = full[:, kinds] = 0
+    for r in rare.select("class", F.explode("near").alias("x")).groupBy("class", "x.cell").agg(F.sum("x.n").alias("n")).collect():
+        other = r["cell"] % total
+        if not n_classes <= other < n_classes + KINDS:
+            full[(r["class"], other) if r["cell"] < total else (other, r["class"])] += r["n"]
+    table = rare.select("key", "class", "n")
+    pairs = slim.mapInArrow(lambda it: _rare_pairs(_blocks_of(it), held.value[0]), "key long, next long, n long").groupBy("key", "next").agg(F.sum("n").alias("n"))
+    ends = table.select(F.col("key").alias("next"), F.col("class").alias("b"))
+    for r in pairs.join(table.select("key", F.col("class").alias("a")), "key").join(ends, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        full[r["a"], r["b"]] += r["n"]
+    sizes = np.zeros(total, dtype=np.int64)
+    for r in table.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sizes[r["class"]] = r["n"]
+    return table, full, sizes
+
+
 @dataclass
 class Model:
-    """Log-probabilities of class transitions and of each id from its class."""
+    """Log-probabilities of class transitions and of each id from its class; (key, class, emission) of rarer words if they have their own."""
 
     voc: Vocabulary
     classes: np.ndarray
     transition: np.ndarray
     emission: np.ndarray
+    rare: DataFrame | None = None
 
 
-def estimate(voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, discount: float = DISCOUNT) -> Model:
+def estimate(voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, discount: float = DISCOUNT, rare: DataFrame | None = None, rare_sizes: np.ndarray | int = 0) -> Model:
     total = len(grid)
     n = len(voc.codes)
     back = (grid.sum(0) + 1.0) / (grid.sum() + total)
     rows = grid.sum(1, keepdims=True)
     seen = (grid > 0).sum(1, keepdims=True)
     p = np.where(rows > 0, (np.maximum(grid - discount, 0) + discount * seen * back) / np.maximum(rows, 1), back)
-    size = np.bincount(classes[:n], weights=voc.counts, minlength=total) if n else np.ones(total)
+    size = np.bincount(classes[:n], weights=voc.counts, minlength=total) if n else np.zeros(total)
+    size = np.maximum(size + rare_sizes, 1)
     emit = np.concatenate([np.log(voc.counts / size[classes[:n]]), -np.log(voc.kind_types + 1.0), [0.0]])
-    return Model(voc, classes, np.log(p), emit)
+    if rare is not None:
+        of = F.element_at(F.array(*(F.lit(float(x)) for x in size)), F.col("class") + 1)
+        rare = rare.select("key", "class", F.log(F.col("n") / of).alias("emission"))
+    return Model(voc, classes, np.log(p), emit, rare)
 
 
 def fit(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES, sweeps: int = SWEEPS, text_col: str = "text") -> Model:
@@ -275,11 +378,17 @@ def fit(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES,
     pairs = scratch.write(count_pairs(docs, voc, text_col), "pairs")
     classes, grid, _ = cluster(pairs, voc, n_classes, sweeps)
     scratch.drop("pairs")
-    return estimate(voc, classes, grid)
+    if not voc.kind_types.any():
+        return estimate(voc, classes, grid)
+    rare, grid, sizes = place_rare(docs, voc, classes, grid, n_classes, scratch, text_col)
+    voc = replace(voc, kind_counts=np.zeros(KINDS, np.int64), kind_types=np.zeros(KINDS, np.int64))
+    return estimate(voc, classes, grid, rare=rare, rare_sizes=sizes)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) of every document; the closing boundary counts as a word of the perplexity."""
+    if model.rare is not None:
+        return _score_all_words(docs, model, text_col, id_col)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,3 +404,59 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", id_co
             yield pa.RecordBatch.from_arrays([rows.column(0), *(pa.array(x, mask=null) for x in (n, total, np.exp(np.minimum(-total / (n + 1), 700))))], names=["doc_id", "n_words", "log_prob", "perplexity"])
 
     return _lowered(docs, text_col, id_col).mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+
+
+def _score_all_words(docs: DataFrame, model: Model, text_col: str, id_col: str) -> DataFrame:
+    """score_documents() where rare words are a table: documents are coded once, and their rare words joined."""
+    spark = docs.sparkSession
+    held = spark.sparkContext.broadcast(replace(model, rare=None))
+    scratch = Scratch(spark, "brown_score")
+
+    def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc = held.value.voc
+        n = len(voc.codes)
+        for text, rows in _blocks_of(it):
+            ids, codes, first = _coded(text, voc)
+            own, rare = [], []
+            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
+                x, c = ids[a:b].astype(np.int32), codes[a:b]
+                at = np.flatnonzero((x >= n) & (x < voc.boundary))
+                distinct, place = np.unique(c[at], return_inverse=True)
+                x[at] = voc.boundary + 1 + place
+                own.append(x.tobytes())
+                rare.append(distinct.view(np.int64))
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array(np.concatenate(rare)))
+            yield pa.RecordBatch.from_arrays([rows.column(0), text.is_null(), pa.array(own, pa.binary()), lists], names=["doc_id", "empty", "ids", "rare"])
+
+    coded = _lowered(docs, text_col, id_col).mapInArrow(code, "doc_id long, empty boolean, ids binary, rare array<long>")
+    coded = scratch.write(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
+    known = coded.select("row", F.explode("rare").alias("key")).join(model.rare, "key").groupBy("row").agg(F.collect_list(F.struct("key", "class", "emission")).alias("known"))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = held.value
+        n, base = len(m.voc.codes), m.voc.boundary + 1
+        for b in it:
+            empty = b.column(1).to_numpy(zero_copy_only=False)
+            rare, known = b.column(3), b.column(4)
+            r, k = rare.offsets.to_numpy(), known.offsets.to_numpy()
+            keys, near = rare.values.to_numpy(), known.values
+            key, cls, emission = (near.field(c).to_numpy() for c in ("key", "class", "emission"))
+            total, size = np.zeros(len(b)), np.zeros(len(b), np.int64)
+            for i, own in enumerate(b.column(2).to_pylist()):
+                ids = np.frombuffer(own, np.int32)
+                # rare words in the order of their unsigned codes, as they were numbered
+                code = keys[r[i] : r[i + 1]].view(U64)
+                kind = n + (code & U64(7)).astype(np.int64)
+                to, emit = m.classes[kind], m.emission[kind]
+                at = np.searchsorted(code, key[k[i] : k[i + 1]].view(U64))
+                to[at], emit[at] = cls[k[i] : k[i + 1]], emission[k[i] : k[i + 1]]
+                c, e = np.empty(len(ids), np.int64), np.empty(len(ids))
+                often = ids < base
+                c[often], e[often] = m.classes[ids[often]], m.emission[ids[often]]
+                c[~often], e[~often] = to[ids[~often] - base], emit[ids[~often] - base]
+                total[i], size[i] = (m.transition[c[:-1], c[1:]] + e[1:]).sum(), len(ids) - 2
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, mask=empty) for x in (size, total, np.exp(np.minimum(-total / (size + 1), 700))))], names=["doc_id", "n_words", "log_prob", "perplexity"])
+
+    none = F.array().cast("array<struct<key:bigint,class:int,emission:double>>")
+    joined = coded.join(known, "row", "left").select("doc_id", "empty", "ids", "rare", F.coalesce("known", none).alias("known"))
+    return joined.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")

@@ -101,3 +101,39 @@ def test_cases(spark):
     long = spark.createDataFrame([(1, "a b " * 200000), (2, "a b")], "doc_id long, text string")
     p = {r.doc_id: r.perplexity for r in B.score_documents(long, B.fit(long)).collect()}
     assert 1 <= p[1] < 1.1 and p[2] > p[1]
+
+
+def test_rare_words_have_their_own_counts_and_classes(spark):
+    rows = toy()
+    # rarer than the share: two animals and a word that nothing else is like
+    rows += [(1000 + i, "the emu eats hay ." if i % 3 else "the yak likes corn .") for i in range(9)] + [(2000, "oddword emu yak")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    m = B.fit(df, 1e-2, 5)
+    count = Counter(w for _, t in rows if t is not None for w in RX.findall(t.lower()))
+    n = len(m.voc.codes)
+    table = {r["key"]: (r["class"], r["emission"]) for r in m.rare.collect()}
+    rare = {w: table[int(codes([w]).view(np.int64)[0])] for w in count if m.voc.ids(codes([w]))[0] >= n}
+    assert len(rare) == len(table) and {"emu", "yak", "oddword"} <= set(rare)
+    animals = {int(m.classes[m.voc.ids(codes([w]))[0]]) for w in ("cat", "dog", "cow", "fox")}
+    assert {rare["emu"][0], rare["yak"][0]} <= animals
+    place = {w: rare[w] if w in rare else (int(m.classes[i]), m.emission[i]) for w in count for i in [m.voc.ids(codes([w]))[0]]}
+    size = Counter()
+    for w, k in count.items():
+        size[place[w][0]] += k
+    assert all(e == pytest.approx(np.log(count[w] / size[c])) for w, (c, e) in place.items())
+    # class transitions are those of all pairs, each word in its class
+    edge = int(m.classes[m.voc.boundary])
+    total = len(m.transition)
+    grid = np.zeros((total, total))
+    seqs = [[edge, *(place[w][0] for w in RX.findall(t.lower())), edge] if t is not None else None for _, t in rows]
+    for c in seqs:
+        for a, b in zip(c or [], (c or [])[1:]):
+            grid[a, b] += 1
+    assert np.allclose(B.estimate(m.voc, m.classes, grid).transition, m.transition)
+    want = Counter()
+    for (d, t), c in zip(rows, seqs):
+        e = [place[w][1] for w in RX.findall(t.lower())] if t is not None else []
+        want[str((d, None if t is None else round(float(sum(e) + sum(m.transition[a, b] for a, b in zip(c, c[1:]))), 6)))] += 1
+    assert Counter(str((r.doc_id, None if r.log_prob is None else round(r.log_prob, 6))) for r in B.score_documents(df, m).collect()) == want
+    new = spark.createDataFrame([(1, "neverseen emu")], "doc_id long, text string")
+    assert np.isfinite(B.score_documents(new, m).first().log_prob)
