@@ -116,25 +116,27 @@ def _features_of(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN, text_col: str = "text", id_col: str = "doc_id") -> dict[str, Model]:
-    """Heads by name. Features are made where the documents are; one task does the sequential updates; the driver gets weights."""
+    """Heads by name. Features are made where the documents are, by all tasks; the at most max_train rows of features then move to
+    one task, which does the sequential updates; the driver gets weights."""
     known = [c for c in HEADS if c in labels.columns]
-    lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("int") for c in known]).filter(F.col("doc_id").isNotNull())
+    lab = labels.select(F.col(id_col).try_cast("long").alias("doc_id"), *[F.col(c).cast("int") for c in known]).filter(F.col("doc_id").isNotNull())
     lab = lab.withColumn("key", F.xxhash64("doc_id")).orderBy("key", *known).limit(max_train)
-    text = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null and text <> ''")
+    text = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null and text <> ''")
     # at most max_train narrow rows: a bounded side to broadcast
     rows = text.join(F.broadcast(lab), "doc_id").select("key", *known, "text").mapInArrow(_features_of, "key long, " + "".join(f"{c} int, " for c in known) + "place array<int>")
 
     def run(it: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat([pd.DataFrame({"key": [], "place": []} | {c: [] for c in known}), *it])
-        pdf["first"] = [int(p[0]) if len(p) else 0 for p in pdf["place"]]
-        pdf = pdf.sort_values(["key", *known, "first"], kind="stable")
+        # rows that are still equal then are the same row
+        pdf["all"] = [np.asarray(p, np.int32).tobytes() for p in pdf["place"]]
+        pdf = pdf.sort_values(["key", *known, "all"], kind="stable")
         for c, head in HEADS.items():
             m = _fit([(p, float(y)) for p, y in zip(pdf["place"], pdf[c]) if pd.notna(y)] if c in known else [], head)
             at = np.flatnonzero(m.weights)
             yield pd.DataFrame({"head": [c], "bias": [m.bias], "at": [at.astype(np.int32)], "weight": [m.weights[at]]})
 
     out = {}
-    for r in rows.coalesce(1).mapInPandas(run, "head string, bias double, at array<int>, weight array<float>").collect():
+    for r in rows.repartition(1).mapInPandas(run, "head string, bias double, at array<int>, weight array<float>").collect():
         w = np.zeros(1 << BITS, np.float32)
         w[r["at"]] = r["weight"]
         out[r["head"]] = Model(w, r["bias"], HEADS[r["head"]].presence)
@@ -173,7 +175,7 @@ def score_documents(docs: DataFrame, models: dict[str, Model], text_col: str = "
             q, t = _scored(batch.column(1), held.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(q), pa.array(t), pa.array((q >= KEEP_QUALITY) & (t < KEEP_TOXIC))], names=["doc_id", "quality_score", "toxic_score", "keep"])
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    slim = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     return slim.mapInArrow(run, "doc_id long, quality_score double, toxic_score double, keep boolean")
 
 

@@ -51,3 +51,39 @@ def test_cases(spark):
     assert all(r.keep for r in Q.score_documents(docs, none).collect())
     assert Q.drop_low_quality(docs.limit(0), none).count() == 0
     assert Q.fit(docs.limit(0), labels.drop("toxic"))["toxic"].bias < 0
+
+
+@pytest.mark.parametrize("head", ["quality", "toxic"])
+def test_ftrl_against_a_scalar_version(head):
+    """McMahan and others (2013), one coordinate at a time."""
+    h = Q.HEADS[head]
+    rng = np.random.default_rng(5)
+    rows = [(rng.integers(0, 40, rng.integers(1, 30)).astype(np.int32), float(rng.random() < 0.5)) for _ in range(60)]
+    z, n, bz, bn = {}, {}, 0.0, 0.0
+
+    def w(i):
+        zi = z.get(i, 0.0)
+        return 0.0 if abs(zi) <= h.l1 else (np.sign(zi) * h.l1 - zi) / ((Q.BETA + n.get(i, 0.0) ** 0.5) / h.alpha + Q.L2)
+
+    for _ in range(h.epochs):
+        for place, y in rows:
+            x = {int(i): 1.0 if h.presence else float((place == i).sum()) / len(place) ** 0.5 for i in place}
+            b = -bz / ((Q.BETA + bn**0.5) / h.alpha)
+            now = {i: w(i) for i in x}
+            d = 1 / (1 + np.exp(-(sum(now[i] * v for i, v in x.items()) + b))) - y
+            for i, v in x.items():
+                g, old = d * v, n.get(i, 0.0)
+                z[i] = z.get(i, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / h.alpha * now[i]
+                n[i] = old + g * g
+            bz += d - ((bn + d * d) ** 0.5 - bn**0.5) / h.alpha * b
+            bn += d * d
+    m = Q.train(rows, h)
+    assert m.bias == pytest.approx(-bz / ((Q.BETA + bn**0.5) / h.alpha), rel=1e-4)
+    assert all(m.weights[i] == pytest.approx(w(i), rel=1e-3, abs=1e-5) for i in range(40)) and not m.weights[40:].any()
+
+
+def test_ids_that_are_no_numbers(spark):
+    docs = spark.createDataFrame([("d1", "good text"), ("2", "more text")], "doc_id string, text string")
+    labels = spark.createDataFrame([("d1", 1, 0), ("2", 0, 1)], "doc_id string, quality int, toxic int")
+    got = Q.score_documents(docs, Q.fit(docs, labels)).collect()
+    assert {r.doc_id for r in got} == {None, 2}
