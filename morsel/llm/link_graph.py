@@ -6,13 +6,19 @@ Nodes are the hosts of pages and of the absolute links in them. Edges:
 - between a host and its site, the host without a leading www., m. or blog.: one link each way, as one owner runs both.
 
 Trust is personalised PageRank from the trusted seeds along edges; distrust is the same from the blocked seeds along reversed
-edges, so that whoever links to a blocked host is held to account. Both walk ROUNDS times, restarting with probability
-1 - DAMPING. Where a host has no edge to follow the walk ends; that scales all values alike, and they are scaled to sum to 1.
+edges, so that whoever links to a blocked host is held to account. Both walk, restarting with probability 1 - DAMPING, until a
+round changes the values of each by no more than TOLERANCE in all. Where a host has no edge to follow the walk ends; that
+scales all values alike, and they are scaled to sum to 1.
+
+Seeds are a table (host, blocked) where one is given, else the hosts that two patterns match; a host that is both is blocked.
 
 A host goes if it is a blocked seed, or if its distrust is above its trust and at least MAX_DISTRUST times the mean.
 
 A round is one join and one partial aggregation of hosts, both directions at once; every FEW rounds the values are written to
-the shared folder. Page text is read once, and only host pairs, counted within each task first, leave that scan.
+the shared folder, where the change is read off. A row from each host to itself carries its restart and its last values along.
+Once, after JUMP rounds, power extrapolation (Haveliwala, Kamvar and others, 2003) takes out what decays as +-DAMPING: a pair of
+hosts that link to each other alone swings so. The rounds after it end at the same values, only sooner.
+Page text is read once, and only host pairs, counted within each task first, leave that scan.
 
 Cases: a page whose URL is null or has no host has null host and values and is kept; null or empty html has no links; ports,
 users and case do not distinguish hosts; links within a host are no edges; without seeds of a kind its values are 0; repeated
@@ -26,8 +32,8 @@ from pyspark.sql import functions as F
 
 from morsel.llm.common import Scratch
 
-DAMPING, ROUNDS, FEW, MAX_DISTRUST = 0.85, 12, 3, 0.5
-#: Seeds, as patterns of hosts.
+DAMPING, TOLERANCE, FEW, JUMP, MAX_DISTRUST = 0.85, 1e-9, 4, 8, 0.5
+#: Seeds, as patterns of hosts, for those who have no table of them.
 TRUSTED = r"(^|\.)[a-z0-9-]+\.(edu|gov|org)$"
 BLOCKED = r"(^|[.-])(casino|poker|bets?|betting|pills|viagra|adserver|ads|porn|xxx|warez)([.-]|$)"
 HOST = r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([A-Za-z0-9._-]+)"
@@ -61,30 +67,54 @@ def steps(scratch: Scratch, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return hosts, scratch.write(ways.join(total, ["kind", "src"]).select("kind", "src", "dst", (F.col("weight") / F.col("total")).alias("share")), "steps")
 
 
-def propagate(scratch: Scratch, hosts: DataFrame, ways: DataFrame, trusted: str, blocked: str, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
+def seeds_of(hosts: DataFrame, seeds: DataFrame | None, trusted: str, blocked: str) -> DataFrame:
+    """(host, kind): the hosts that are seeds, kind 0 trusted, 1 blocked."""
+    if seeds is None:
+        x = hosts.select("host", F.col("host").rlike(blocked).alias("bad"), F.col("host").rlike(trusted).alias("good")).filter("good or bad")
+        return x.select("host", F.col("bad").cast("int").alias("kind"))
+    named = seeds.select(F.lower(F.col("host").cast("string")).alias("host"), F.coalesce(F.col("blocked").cast("boolean"), F.lit(False)).alias("bad")).groupBy("host").agg(F.max("bad").cast("int").alias("kind"))
+    return hosts.join(named, "host")
+
+
+def propagate(scratch: Scratch, hosts: DataFrame, ways: DataFrame, seeds: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """(kind, host, value) of hosts that a walk reaches; the values of a kind sum to 1."""
-    is_seed = hosts.select("host", F.col("host").rlike(blocked).alias("bad"), F.col("host").rlike(trusted).alias("good"))
-    seeds = is_seed.filter("good and not bad").select(F.lit(0).alias("kind"), "host").unionByName(is_seed.filter("bad").select(F.lit(1).alias("kind"), "host"))
     n = seeds.groupBy("kind").agg(F.count("*").alias("n"))
-    seeds = scratch.write(seeds.join(F.broadcast(n), "kind").select("kind", "host", (F.lit(1.0) / F.col("n")).alias("value")), "seeds")
-    rank = seeds
-    for k in range(rounds):
-        moved = ways.join(rank.select("kind", F.col("host").alias("src"), "value"), ["kind", "src"]).select("kind", F.col("dst").alias("host"), (F.col("value") * F.col("share") * damping).alias("value"))
-        rank = moved.unionByName(seeds.select("kind", "host", (F.col("value") * (1 - damping)).alias("value"))).groupBy("kind", "host").agg(F.sum("value").alias("value"))
-        if (k + 1) % FEW == 0 or k + 1 == rounds:
-            rank = scratch.write(rank, f"rank{k}")
+    start = scratch.write(seeds.join(F.broadcast(n), "kind").select("kind", "host", (F.lit(1.0) / F.col("n")).alias("value")), "seeds")
+    kinds = hosts.select("host", F.explode(F.array(F.lit(0), F.lit(1))).alias("kind"))
+    own = kinds.join(start, ["kind", "host"], "left").select("kind", F.col("host").alias("src"), F.col("host").alias("dst"), F.lit(0.0).alias("share"), (F.coalesce("value", F.lit(0.0)) * (1 - damping)).alias("restart"), F.lit(True).alias("own"))
+    ways = scratch.write(ways.select("kind", "src", "dst", "share", F.lit(0.0).alias("restart"), F.lit(False).alias("own")).unionByName(own), "ways")
+    # seeds are reached from the start, so every round meets their restarts
+    rank = start.select("kind", F.col("host").alias("src"), "value", F.lit(0.0).alias("last"), F.lit(0.0).alias("older"))
+    k = 0
+    while True:
+        k += 1
+        carry = lambda c: F.sum(F.when(F.col("own"), F.col(c)).otherwise(0.0))
+        step = F.sum(F.col("value") * F.col("share") * damping + F.col("restart"))
+        rank = ways.join(rank, ["kind", "src"]).groupBy("kind", "dst").agg(step.alias("next"), carry("value").alias("last"), carry("last").alias("older")).select("kind", F.col("dst").alias("src"), F.col("next").alias("value"), "last", "older")
+        if k % FEW:
+            continue
+        rank = scratch.write(rank, f"rank{k}")
+        if k > FEW:
+            scratch.drop(f"rank{k - FEW}")
+        change = rank.groupBy("kind").agg(F.sum(F.abs(F.col("value") - F.col("last"))).alias("change")).agg(F.max("change")).first()[0]
+        if change is None or change <= tolerance:
+            break
+        if k == JUMP:
+            rank = rank.withColumn("value", (F.col("value") - damping**2 * F.col("older")) / (1 - damping**2))
     total = rank.groupBy("kind").agg(F.sum("value").alias("total"))
-    return rank.join(F.broadcast(total), "kind").select("kind", "host", (F.col("value") / F.col("total")).alias("value"))
+    return rank.join(F.broadcast(total), "kind").select("kind", F.col("src").alias("host"), (F.col("value") / F.col("total")).alias("value"))
 
 
-def judge_hosts(pages: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, max_distrust: float = MAX_DISTRUST, rounds: int = ROUNDS, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, trust, distrust, keep) of every host."""
+def judge_hosts(pages: DataFrame, trusted: str = TRUSTED, blocked: str = BLOCKED, max_distrust: float = MAX_DISTRUST, tolerance: float = TOLERANCE, url_col: str = "url", html_col: str = "html", seeds: DataFrame | None = None) -> DataFrame:
+    """(host, trust, distrust, keep) of every host. seeds: (host, blocked); None: those that the patterns match."""
     scratch = Scratch(pages.sparkSession, "hosts")
     hosts, ways = steps(scratch, scratch.write(host_edges(pages, url_col, html_col), "edges"))
-    rank = propagate(scratch, hosts, ways, trusted, blocked, rounds)
-    value = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0)).alias(c) for k, c in ((0, "trust"), (1, "distrust"))]
+    known = scratch.write(seeds_of(hosts, seeds, trusted, blocked), "seed_hosts")
+    rank = propagate(scratch, hosts, ways, known, tolerance)
+    rank = rank.unionByName(known.filter("kind = 1").select(F.lit(2).alias("kind"), "host", F.lit(1.0).alias("value")))
+    value = [F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("value"))), F.lit(0.0)).alias(c) for k, c in ((0, "trust"), (1, "distrust"), (2, "seed"))]
     x = hosts.join(rank, "host", "left").groupBy("host").agg(*value).crossJoin(F.broadcast(hosts.agg(F.count("*").alias("n"))))
-    bad = F.col("host").rlike(blocked) | ((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("n") >= max_distrust))
+    bad = (F.col("seed") > 0) | ((F.col("distrust") > F.col("trust")) & (F.col("distrust") * F.col("n") >= max_distrust))
     return x.select("host", "trust", "distrust", (~bad).alias("keep"))
 
 
@@ -95,15 +125,12 @@ def judge_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     return x.join(hosts, "host", "left").select("page_id", "url", "host", F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"), F.coalesce("keep", F.lit(True)).alias("keep"))
 
 
-def oracle_sql(trusted: str = TRUSTED, blocked: str = BLOCKED, max_distrust: float = MAX_DISTRUST, rounds: int = ROUNDS) -> str:
-    """judge_pages() as DuckDB SQL, one table expression a round."""
+def oracle_sql(trusted: str = TRUSTED, blocked: str = BLOCKED, max_distrust: float = MAX_DISTRUST, rounds: int = 200) -> str:
+    """judge_pages() as DuckDB SQL: plain rounds, as many as leave less than DAMPING ** rounds of the walk."""
     q = lambda s: "'" + s.replace("'", "''") + "'"
     host = lambda x: f"nullif(lower(regexp_extract({x}, {q(HOST)}, 1)), '')"
     site = "regexp_replace(host, '^(www|m|blog)[.]([^.]+[.])', '\\2')"
-    step = lambda k: f"""r{k + 1} AS (SELECT kind, host, sum(value) AS value FROM (
-        SELECT w.kind, w.dst AS host, r.value * w.share * {DAMPING} AS value FROM ways w JOIN r{k} r ON w.kind = r.kind AND w.src = r.host
-        UNION ALL SELECT kind, host, value * (1 - {DAMPING}) FROM r0) GROUP BY kind, host)"""
-    return f"""WITH p AS (SELECT page_id, url, {host('url')} AS host, coalesce(html, '') AS html FROM pages),
+    return f"""WITH RECURSIVE p AS (SELECT page_id, url, {host('url')} AS host, coalesce(html, '') AS html FROM pages),
     l AS (SELECT host AS src, {host('x')} AS dst FROM (SELECT host, unnest(regexp_extract_all(html, {q(LINK)}, 1)) AS x FROM p WHERE host IS NOT NULL)),
     links AS (SELECT src, dst, count(*) AS weight FROM l WHERE dst <> src GROUP BY src, dst),
     h0 AS (SELECT host FROM p WHERE host IS NOT NULL UNION SELECT dst FROM links),
@@ -111,11 +138,12 @@ def oracle_sql(trusted: str = TRUSTED, blocked: str = BLOCKED, max_distrust: flo
     hosts AS (SELECT host FROM h0 UNION SELECT site FROM s),
     e AS (SELECT src, dst, sum(weight) AS weight FROM (SELECT * FROM links UNION ALL SELECT host, site, 1 FROM s UNION ALL SELECT site, host, 1 FROM s) GROUP BY src, dst),
     w AS (SELECT 0 AS kind, src, dst, weight FROM e UNION ALL SELECT 1, dst, src, weight FROM e),
-    ways AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) AS share FROM w),
     seeds AS (SELECT CASE WHEN regexp_matches(host, {q(blocked)}) THEN 1 ELSE 0 END AS kind, host FROM hosts WHERE regexp_matches(host, {q(blocked)}) OR regexp_matches(host, {q(trusted)})),
     r0 AS MATERIALIZED (SELECT kind, host, 1.0::DOUBLE / count(*) OVER (PARTITION BY kind) AS value FROM seeds),
-    {', '.join(step(k) for k in range(rounds))},
-    v AS (SELECT kind, host, value / sum(value) OVER (PARTITION BY kind) AS value FROM r{rounds}),
+    ways AS MATERIALIZED (SELECT kind, src, dst, weight / sum(weight) OVER (PARTITION BY kind, src) * {DAMPING} AS share, 0.0::DOUBLE AS restart FROM w UNION ALL SELECT kind, host, host, 0, value * (1 - {DAMPING}) FROM r0),
+    walk(k, kind, host, value) AS (SELECT 0, kind, host, value FROM r0
+        UNION ALL SELECT r.k + 1, w.kind, w.dst, sum(r.value * w.share + w.restart) FROM walk r JOIN ways w ON w.kind = r.kind AND w.src = r.host WHERE r.k < {rounds} GROUP BY r.k, w.kind, w.dst),
+    v AS (SELECT kind, host, value / sum(value) OVER (PARTITION BY kind) AS value FROM walk WHERE k = {rounds}),
     j AS (SELECT h.host, coalesce(sum(value) FILTER (kind = 0), 0.0) AS trust, coalesce(sum(value) FILTER (kind = 1), 0.0) AS distrust FROM hosts h LEFT JOIN v ON h.host = v.host GROUP BY h.host)
     SELECT p.page_id, p.url, p.host, round(trust, 9) AS trust, round(distrust, 9) AS distrust,
         coalesce(NOT (regexp_matches(p.host, {q(blocked)}) OR (distrust > trust AND distrust * (SELECT count(*) FROM hosts) >= {max_distrust})), true) AS keep
