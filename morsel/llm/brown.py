@@ -8,7 +8,8 @@ P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
 2. All pairs of neighbours are counted, documents beginning and ending with a boundary.
 3. Exchange clustering (Kneser and Ney; Martin, Liermann and Ney): a sweep takes the words from the most frequent down and
    moves each to the class that raises the likelihood of all pairs most. Counts of words with classes come from the pair
-   table in Spark before each sweep; class counts follow every move. Sweeps end when the exact likelihood no longer rises.
+   table in Spark before each sweep; class counts follow every move. Sweeps go on until one gains less than GAIN of all that
+   was gained, or the exact likelihood falls; the best classes are kept.
 4. Then each rarer word moves by one exchange step, in Spark, to the class that raises the likelihood most while the counts of
    the clustering stay fixed; its neighbours that are rare themselves count as their kinds in that step. Counts of class pairs
    are then taken anew from all words.
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 
 from morsel.llm.common import U64, Scratch, blocks, hash_spans, segment_sum, text_buffer, words
 
-MIN_SHARE, CLASSES, KINDS, SWEEPS, DISCOUNT = 1e-5, 64, 8, 6, 0.5
+MIN_SHARE, CLASSES, KINDS, DISCOUNT = 1e-5, 64, 8, 0.5
+#: Sweeps end when one raises the likelihood by less than this share of what all of them have.
+GAIN = 1e-4
 #: Bits of an id in a pair; above the vocabulary's bound.
 ID_BITS = 20
 #: Distinct keys a task holds before it passes them on.
@@ -114,7 +117,7 @@ class Vocabulary:
 
 
 def _lowered(docs: DataFrame, text_col: str, id_col: str | None = None) -> DataFrame:
-    cols = [docs[id_col].cast("long").alias("doc_id")] if id_col else []
+    cols = [docs[id_col].try_cast("long").alias("doc_id")] if id_col else []
     return docs.select(*cols, F.lower(docs[text_col].cast("string")).alias("text"))
 
 
@@ -225,8 +228,11 @@ def sweep(classes: np.ndarray, order: np.ndarray, after: np.ndarray, before: np.
     return classes
 
 
-def cluster(pairs: DataFrame, voc: Vocabulary, n_classes: int = CLASSES, sweeps: int = SWEEPS) -> tuple[np.ndarray, np.ndarray, list[float]]:
-    """Class of every id, counts of class pairs, and the likelihood before and after each sweep that raised it."""
+def cluster(pairs: DataFrame, voc: Vocabulary, n_classes: int = CLASSES, sweeps: int | None = None) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """Class of every id, counts of class pairs, and the likelihood before and after each sweep that raised it.
+
+    sweeps: at most so many; None: until they gain less than GAIN.
+    """
     n = len(voc.codes)
     order = np.lexsort((voc.codes, -voc.counts)) if n else np.zeros(0, np.int64)
     total = n_classes + KINDS + 1
@@ -235,7 +241,8 @@ def cluster(pairs: DataFrame, voc: Vocabulary, n_classes: int = CLASSES, sweeps:
     classes[n:] = n_classes + np.arange(KINDS + 1)
     history: list[float] = []
     best = None
-    for k in range(sweeps + 1):
+    k = 0
+    while True:
         after, before = class_counts(pairs, classes, total)
         grid = np.zeros((total, total), dtype=np.int64)
         np.add.at(grid, classes, after)
@@ -244,8 +251,10 @@ def cluster(pairs: DataFrame, voc: Vocabulary, n_classes: int = CLASSES, sweeps:
             break
         history.append(now)
         best = classes, grid
-        if k < sweeps:
-            classes = sweep(classes, order, after, before, n_classes)
+        if k == sweeps or k > 1 and history[-1] - history[-2] < GAIN * (history[-1] - history[0]):
+            break
+        k += 1
+        classes = sweep(classes, order, after, before, n_classes)
     return *best, history
 
 
@@ -370,7 +379,7 @@ def estimate(voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, discount: f
     return Model(voc, classes, np.log(p), emit, rare)
 
 
-def fit(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES, sweeps: int = SWEEPS, text_col: str = "text") -> Model:
+def fit(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES, sweeps: int | None = None, text_col: str = "text") -> Model:
     scratch = Scratch(docs.sparkSession, "brown")
     voc = build_vocabulary(docs, scratch, min_share, text_col)
     if len(voc.codes) + KINDS + 1 > 1 << ID_BITS:
