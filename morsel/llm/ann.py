@@ -170,7 +170,7 @@ def _matrix(col: pd.Series, d: int, kind: type = np.float32) -> np.ndarray:
 
 def clean_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, embedding) of the rows that count."""
-    v = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vec_col].cast("array<float>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
+    v = vectors.select(vectors[id_col].try_cast("long").alias("vec_id"), vectors[vec_col].cast("array<float>").alias("embedding")).filter("vec_id is not null and size(embedding) > 0")
     v = v.filter(~F.exists("embedding", lambda e: e.isNull() | F.isnan(e) | (F.abs(e) == float("inf"))))
     d = v.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1)
     return v.join(F.broadcast(d), F.size("embedding") == F.col("d"), "left_semi").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))

@@ -301,7 +301,7 @@ def encode_documents(docs: DataFrame, path: str = RANKS_PATH, text_col: str = "t
 
     One narrow pass: no shuffle. See the module for nulls and empty texts.
     """
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
+    slim = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids array<int>" + ", lossless boolean" * check
     return slim.mapInArrow(lambda it: _encode_batches(it, path, check), schema)
 
@@ -318,5 +318,5 @@ def decode_documents(encoded: DataFrame, path: str = RANKS_PATH, ids_col: str =
             texts = enc.decode(flat, off)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string(), mask=np.array(lists.is_null()))], names=["doc_id", "text"])
 
-    slim = encoded.select(encoded[id_col].cast("long").alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids"))
+    slim = encoded.select(encoded[id_col].try_cast("long").alias("doc_id"), encoded[ids_col].cast("array<int>").alias("ids"))
     return slim.mapInArrow(run, "doc_id long, text string")

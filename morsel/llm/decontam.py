@@ -147,7 +147,7 @@ def _matcher(items: list[tuple[int, str]], rate: float) -> Matcher:
 def item_parts(benchmark: DataFrame, text_col: str = "text", id_col: str = "item_id", most: int = MAX_ITEM_BYTES) -> Iterator[list[tuple[int, str]]]:
     """Benchmark items in parts of at most `most` bytes of text, read one part at a time."""
     part, size = [], 0
-    for i, t in benchmark.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator():
+    for i, t in benchmark.select(F.col(id_col).try_cast("long"), F.col(text_col).cast("string")).filter(F.col(text_col).isNotNull()).toLocalIterator():
         n = len(t.encode())
         if part and size + n > most:
             yield part
@@ -160,7 +160,7 @@ def item_parts(benchmark: DataFrame, text_col: str = "text", id_col: str = "item
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, text_col: str = "text", id_col: str = "doc_id", item_col: str = "item_id", most: int = MAX_ITEM_BYTES) -> DataFrame:
     """(doc_id, item_id, distance): every item found in every document, with the edits of its nearest match."""
     spark = docs.sparkSession
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
+    slim = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("text is not null")
     out = None
     for part in item_parts(benchmark, id_col=item_col, most=most):
         held = spark.sparkContext.broadcast(part)

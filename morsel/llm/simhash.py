@@ -91,7 +91,7 @@ def fingerprint_documents(docs: DataFrame, text_col: str = "text", id_col: str =
                 cols = [batch.column(0).slice(i, j - i), *(pa.array(fp[:, k].view(np.int64)) for k in (0, 1))]
                 yield pa.RecordBatch.from_arrays([c.filter(mask) for c in cols], names=["doc_id", "hi", "lo"])
 
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), F.lower(docs[text_col]).alias("text")).filter("doc_id is not null and text is not null")
+    slim = docs.select(docs[id_col].try_cast("long").alias("doc_id"), F.lower(docs[text_col]).alias("text")).filter("doc_id is not null and text is not null")
     return slim.mapInArrow(run, "doc_id long, hi long, lo long")
 
 
@@ -249,4 +249,4 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, text_col: str =
     scratch = Scratch(docs.sparkSession, "simhash-drop")
     groups = near_duplicate_groups(docs, radius, text_col, id_col)
     drop = scratch.write(groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop")), "drop")
-    return docs.join(drop, docs[id_col].cast("long") == drop["__drop"], "left_anti")
+    return docs.join(drop, docs[id_col].try_cast("long") == drop["__drop"], "left_anti")

@@ -169,7 +169,7 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     """
     gram = min(gram, min_words)
     scratch = Scratch(docs.sparkSession, "passages")
-    slim = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null and text is not null")
+    slim = docs.select(docs[id_col].try_cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null and text is not null")
     every = scratch.write(slim.mapInArrow(lambda it: _run_batches(it, min_words, gram), "anchor long, content long, doc_id long, pos int, n int"), "runs")
     stats = every.groupBy("anchor").agg(F.count("*").alias("places"), F.min("content").alias("low"), F.max("content").alias("high"), F.min("doc_id").alias("first_doc_id")).filter("places > 1")
     shared = scratch.write(every.join(stats, "anchor"), "shared")
