@@ -1,32 +1,37 @@
 """Personal data and secrets by a skip-chain conditional random field (operator 10).
 
-Nodes are the pieces of a text that could be part of an entity: runs of letters, digits and . + - / @ _ that hold a digit or @,
-or at least CAPS capitals. All other words can only be "other", so they separate the field: leaving them out is exact.
+Nodes are the pieces of a text that could be part of an entity: whatever holds a digit or @, or at least CAPS capitals; numbers,
+telephone numbers, account numbers and addresses written in groups, each as one piece; IPv6 addresses; and whatever stands behind
+a word such as "password" and a sign of equality or a colon, wherever in the document it is repeated. All other words can only be "other" and separate the field.
 
-- Each piece has unary features: its shape, digits, checksum, and the words around it.
+- Each piece has features of itself, at its whole length (shape, digits, checksums), and of the words before and after it.
 - Chain edges join neighbouring pieces with no word between them.
-- Skip edges join each piece with the next one of the document, at any distance, that has the same letters and digits,
-  whatever their case and the marks between them. A chain of occurrences, not a clique, so they grow linearly.
+- Skip edges tie all mentions of the same letters and digits in a document, whatever their case and the marks between them, to
+  one hub variable. As in skip-chain fields, the potential they share has the features of all of them, each once: what tells one
+  mention tells all, at any distance, and a thousand bare mentions say no more than one. Edges grow linearly with mentions.
 
 Weights are trained here, on texts that `examples` writes with known entities (N_TRAIN of them, fixed seed), by gradient of the
 likelihood with marginals of loopy belief propagation. Inference runs rounds of messages over all documents of a batch at once,
-until none changes by TOLERANCE, so evidence reaches every mention however far along its chain. Only messages that may still
-change are sent again, and a document's result doesn't depend on what else is in the batch. One narrow pass: no shuffle. From
-round STEADY on messages move by ever smaller steps, which settles loops that would swing; what still swings ends at MOST rounds.
+until none changes by TOLERANCE. Only messages that may still change are sent again, and a document's result doesn't depend on
+what else is in the batch. One narrow pass: no shuffle. From round STEADY on messages move by ever smaller steps, which settles
+loops that would swing; what still swings ends at MOST rounds.
 
-Cases: a null or empty text has no entities, and stays as it is when redacted; repeated rows each their own row; a null doc_id
-is kept as such; other columns are ignored by find() and pass through redact(); an empty table gives no rows. Offsets count
+Cases: a null or empty text has no entities, and stays as it is when redacted; repeated rows each their own row; a null doc_id,
+or one that is no number, is a null id; other columns are ignored by find() and pass through redact(); an empty table gives no
+rows; of labels that are equally likely the first of LABELS is taken; very long texts and words are read whole. Offsets count
 characters.
 """
 
 from __future__ import annotations
 
+import ipaddress
 import random
 import re
 import string
 from collections.abc import Iterator
 from functools import lru_cache
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,15 +45,35 @@ CAPS, N_TRAIN, EPOCHS, SEED = 16, 900, 70, 11
 TOLERANCE, STEADY, MOST = 1e-6, 1000, 100_000
 CHAIN, SKIP = 0, 1
 
-_PIECE = re.compile(r"\+?\w(?:[\w.+/@\-]*\w)?")
+_SIMPLE = re.compile(r"\+?\w(?:[\w.+/@\-]*\w)?")
+#: What is one piece although spaces, brackets or colons cut it: IPv6 addresses, card, account and telephone numbers in groups.
+_GROUPED = r"""(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f:]+(?:\.\d+){0,3}(?![\w:])
+|(?<![\w.+\-])\d{4}(?:[ \-]\d{4}){2,3}(?:[ \-]\d{1,4})?(?![\w\-])
+|(?<![\w.+\-])\d{4}[ \-]\d{6}[ \-]\d{5}(?![\w\-])
+|(?<!\w)[A-Z]{2}\d{2}(?:[ ][A-Z0-9]{4}){2,7}(?:[ ][A-Z0-9]{1,4})?(?!\w)
+|(?<!\w)\+\d{1,3}(?:[ .\-]?\(?\d{1,4}\)?){2,6}(?![\w@])
+|(?<!\w)\(\d{2,5}\)[ ]?\d{2,4}[ .\-]\d{3,4}(?!\w)"""
+_PIECE = re.compile(f"{_GROUPED}|(?P<simple>{_SIMPLE.pattern})", re.X)
 _EMAIL = re.compile(r"[\w.+\-]+@[\w\-]+(?:\.[\w\-]+)+")
 _IP = re.compile(r"(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})")
-_KEYS = re.compile(r"(?:^|[^a-z])(?:pass(?:word|wd|phrase)?|pwd|token|secret|api[_-]?key|key|auth|bearer|credentials?)$")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}[A-Z0-9]{11,30}")
+_PASS = r"pass(?:word|wd|phrase|code)?|pwd"
+_NAMED = rf"{_PASS}|token|secret|api[_\-]?key|credentials?"
+_KEYS = re.compile(rf"(?:^|[^a-z])(?:(?P<pass>{_PASS})|{_NAMED}|key|auth|bearer)[\"']?\s*(?P<sign>[=:]?)\s*(?P<quote>[\"'>(]*)$")
+#: A name and a sign of equality or a colon; and what follows up to white space or a quote.
+_SIGN = re.compile(rf"(?:{_NAMED})[\"']?[ \t]*[=:][ \t]*[\"']?".encode(), re.I)
+_VALUE = re.compile(rb"[^\s\"'<>]+")
 _SHAPE = re.compile(r"(0+)|(a+)|(A+)")
+_WORD = re.compile(r"[^\W\d_]+|[=:#@$(\"]")
+_NEXT = re.compile(r"[^\W\d_]+|[=:#@$%)\"]")
 _DIGIT_AT = np.zeros(256, dtype=np.uint8)
 _DIGIT_AT[[*range(48, 58), 64]] = 1
 _UPPER = np.zeros(256, dtype=np.uint8)
 _UPPER[65:91] = 1
+_COLON = np.zeros(256, dtype=np.uint8)
+_COLON[58] = 1
+#: Bytes before and after a piece in which its neighbours are looked for; a word that begins in them counts whole.
+WINDOW = 64
 
 
 def luhn(digits: str) -> bool:
@@ -59,43 +84,69 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(t: str) -> bool:
+    """Whether letters and digits have the checksum of an account number."""
+    return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
+
+
+def is_ipv6(t: str) -> bool:
+    try:
+        return ":" in t and ipaddress.ip_address(t).version == 6
+    except ValueError:
+        return False
+
+
 def shape(t: str) -> str:
-    s = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in t[:64])
-    return _SHAPE.sub(lambda m: m.group()[0] + (str(min(len(m.group()), 5)) if m.group()[0] == "0" else ""), s)[:24]
+    s = "".join("0" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c for c in t)
+    return _SHAPE.sub(lambda m: m.group()[0] + (str(min(len(m.group()), 5)) if m.group()[0] == "0" else ""), s)
 
 
 def features(t: str, before: str, after: str) -> list[str]:
-    """Of a piece, the text shortly before it and after it (both of one line)."""
+    """Of a piece, the text shortly before it and after it."""
     out = ["bias", f"s={shape(t)}"]
-    digits = "".join(c for c in t[:64] if "0" <= c <= "9")
+    digits = "".join(c for c in t if "0" <= c <= "9")
     n = len(digits)
     out.append(f"d={min(n, 20)}")
-    left, right = before.rstrip().lower(), after.strip().lower()
-    prev = re.findall(r"[^\W\d_]+|[=:#@$(\"]", left[-40:])
-    nxt = re.match(r"[^\W\d_]+|[=:#@$%)\"]", right[:20])
-    key = _KEYS.search(left.rstrip(" =:\"'>(")[-24:]) is not None
+    left = before.lower()
+    prev, nxt = _WORD.findall(left), _NEXT.match(after.strip().lower())
+    key = _KEYS.search(left)
     if prev:
         out.append("p=" + prev[-1])
         if len(prev) > 1 and prev[-1] in "=:#(\"":
-            out.append("q=" + next((x for x in reversed(prev) if x not in "=:#(\""), "")[:16])
+            out.append("q=" + next((x for x in reversed(prev) if x not in "=:#(\""), ""))
     if nxt:
-        out.append("n=" + nxt.group()[:12])
+        out.append("n=" + nxt.group())
     if before[-1:] == "(" and after[:1] == ")":
         out.append("paren")
     if "@" in t:
         out.append("email" if _EMAIL.fullmatch(t) else "at")
     if m := _IP.fullmatch(t):
         out.append("ip" if all(int(x) < 256 for x in m.groups()) else "ip>")
-    if 13 <= n <= 19 and not re.search(r"[^\d\-]", t):
+    if is_ipv6(t):
+        out.append("ipv6")
+    bare = re.sub(r"[ \-]", "", t)
+    if 13 <= n <= 19 and bare.isdigit():
         out += ["c=" + str(luhn(digits)), f"c{n}={t[0]}"]
-    letters = sum(c.isalpha() for c in t[:64])
+        if bare != t and luhn(digits):
+            out.append("c=groups")
+    if _IBAN.fullmatch(bare):
+        out.append("iban=" + str(iban(bare)))
+    if t[0] in "+(" and 8 <= n <= 15 and not re.search(r"[^\d+().\- ]", t):
+        out += ["tel", "tel" + t[0]]
+    letters = sum(c.isalpha() for c in t)
+    kinds = [any(c.islower() for c in t), any(c.isupper() for c in t), n > 0, not t.isalnum()]
     if len(t) >= 12 and letters and n or letters >= CAPS:
         kind = "hex" if re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", t) else "caps" if re.fullmatch(r"[0-9A-Z]+", t) else "mix" if re.fullmatch(r"[\w\-./+]+", t) else "odd"
         out += [f"k={kind}", f"k={kind}{min(len(t) // 4, 12)}", f"pre={t[:4]}" if kind == "caps" else f"pre={t[:3]}"]
         if key:
             out.append("key+long")
     if key:
-        out += ["key", "key+mixed" if letters and n else "key+plain"]
+        out += ["key", "key+mixed" if letters and n else "key+plain", f"key+{sum(kinds)}"]
+        if key["sign"]:
+            named = "pass" if key["pass"] else "name"
+            out += [f"{named}{key['sign']}", f"{named}{key['sign']}{'mixed' if sum(kinds) > 1 else 'digits' if n else 'word'}"]
+            if key["quote"]:
+                out.append("key+quote")
     return out
 
 
@@ -104,66 +155,153 @@ def same_key(t: str) -> str:
 
 
 class Nodes:
-    """Pieces of documents with their edges, gathered for one inference."""
+    """Pieces of documents with their chain edges and the mentions of each key, gathered for one inference."""
 
     def __init__(self) -> None:
         self.doc: list[int] = []
         self.span: list[tuple[int, int]] = []
         self.text: list[str] = []
         self.feats: list[list[str]] = []
-        self.edges: list[tuple[int, int, int]] = []
-        self.last: dict[str, int] = {}
-        self.at = -1
+        self.chain: list[tuple[int, int]] = []
+        self.mentions: dict[tuple[int, str], list[int]] = {}
 
     def piece(self, doc: int, span: tuple[int, int], text: str, feats: list[str], joined: bool) -> None:
         i = len(self.text)
-        if doc != self.at:
-            self.at, self.last, joined = doc, {}, False
         self.doc.append(doc)
         self.span.append(span)
         self.text.append(text)
         self.feats.append(feats)
         if joined:
-            self.edges.append((i - 1, i, CHAIN))
+            self.chain.append((i - 1, i))
         if len(k := same_key(text)) > 3:
-            if k in self.last:
-                self.edges.append((self.last[k], i, SKIP))
-            self.last[k] = i
+            self.mentions.setdefault((doc, k), []).append(i)
+
+    def field(self, skip: bool = True) -> tuple[list[list[str]], np.ndarray, list[list[int]]]:
+        """(features of all variables, edges, mentions of each hub): pieces first, then a hub for each key of several mentions.
+
+        A hub has the features of all its mentions, each once, and they have none of their own.
+        """
+        hubs = [m for m in self.mentions.values() if len(m) > 1] if skip else []
+        feats, edges, n = list(self.feats), [(a, b, CHAIN) for a, b in self.chain], len(self.text)
+        for h, own in enumerate(hubs):
+            feats.append(list(dict.fromkeys(f for i in own for f in self.feats[i])))
+            for i in own:
+                feats[i] = []
+                edges.append((i, n + h, SKIP))
+        return feats, np.array(edges, dtype=np.int64).reshape(-1, 3), hubs
 
 
-def candidates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, document) of the words, as white space cuts them, that may hold a piece."""
+def candidates(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """(start, end, document) of the words, as white space cuts them, that may hold a piece; and the spans behind key words."""
     start, end, first = words(raw, off, spaced=True)
-    acc = np.concatenate([[0], np.cumsum(_DIGIT_AT[raw], dtype=np.int64)])
-    some = acc[end] > acc[start]
+    count = lambda table, at: (lambda acc: acc[end[at]] - acc[start[at]])(np.concatenate([[0], np.cumsum(table[raw], dtype=np.int64)]))
+    every = np.arange(len(start))
+    some = (count(_DIGIT_AT, every) > 0) | (count(_COLON, every) > 1)
     long = np.flatnonzero(~some & (end - start >= CAPS))
     if len(long):
-        up = np.concatenate([[0], np.cumsum(_UPPER[raw], dtype=np.int64)])
-        some[long] = up[end[long]] - up[start[long]] >= CAPS
+        some[long] = count(_UPPER, long) >= CAPS
+    values = []
+    data, at = raw.tobytes(), 0
+    while m := _SIGN.search(data, at):
+        d = int(np.searchsorted(off, m.start(), side="right")) - 1
+        hi = int(off[d + 1])
+        # nothing reaches from one text into the next
+        at = min(m.end(), hi)
+        if m.end() >= hi or m.start() > off[d] and _letter(data[m.start() - 1]) or not (v := _VALUE.match(data, m.end(), hi)):
+            continue
+        a, b = v.span()
+        while b > a and data[b - 1] in b".,;:!?)]}%&$#*":
+            b -= 1
+        if b > a:
+            values.append((a, b))
+    values = _again(raw, off, values)
+    some[np.searchsorted(start, np.array([a for a, _ in values], dtype=np.int64), side="right") - 1] = True
     at = np.flatnonzero(some)
-    return start[at], end[at], np.searchsorted(first, at, side="right") - 1
+    return start[at], end[at], np.searchsorted(first, at, side="right") - 1, values
+
+
+def _again(raw: np.ndarray, off: np.ndarray, values: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans behind key words, and all other places where the same value stands by itself in that document."""
+    by: dict[int, dict[bytes, None]] = {}
+    for a, b in values:
+        if b - a > 3:
+            by.setdefault(int(np.searchsorted(off, a, side="right")) - 1, {})[raw[a:b].tobytes()] = None
+    out = set(values)
+    for d, known in by.items():
+        find = ahocorasick.Automaton()
+        for v in known:
+            find.add_word(v.decode("latin-1"), len(v))
+        find.make_automaton()
+        lo, data = int(off[d]), raw[off[d] : off[d + 1]].tobytes()
+        for last, size in find.iter(data.decode("latin-1")):
+            a, b = last + 1 - size, last + 1
+            if not (a and (_letter(data[a - 1]) or data[a - 1 : a].isdigit()) or b < len(data) and (_letter(data[b]) or data[b : b + 1].isdigit())):
+                out.add((lo + a, lo + b))
+    # where two begin at one place the longer counts
+    return sorted(out, key=lambda x: (x[0], -x[1]))
+
+
+def _letter(b: int) -> bool:
+    return b >= 128 or 65 <= b <= 90 or 97 <= b <= 122
+
+
+def _around(data: bytes, lo: int, hi: int, a: int, b: int) -> tuple[str, str]:
+    """The text shortly before a and after b, within lo and hi; words at its ends are whole."""
+    x, y = max(lo, a - WINDOW), min(hi, b + WINDOW)
+    while x > lo and _letter(data[x]) and _letter(data[x - 1]):
+        x -= 1
+    while y < hi and _letter(data[y]) and _letter(data[y - 1]):
+        y += 1
+    return data[x:a].decode(errors="ignore"), data[b:y].decode(errors="ignore")
+
+
+def _pieces(text: str) -> Iterator[tuple[int, int]]:
+    for m in _PIECE.finditer(text):
+        a, b = m.span()
+        if m["simple"] is None and ":" in m.group() and not is_ipv6(m.group()):
+            yield from ((a + x.start(), a + x.end()) for x in _SIMPLE.finditer(m.group()))
+        else:
+            yield a, b
 
 
 def gather(text: pa.Array) -> tuple[Nodes, np.ndarray, np.ndarray]:
     """Nodes of all texts; spans are byte offsets into the buffer, which is returned with the texts' offsets."""
     raw, off = text_buffer(text)
     nodes = Nodes()
-    start, end, doc = candidates(raw, off)
+    start, end, doc, values = candidates(raw, off)
     data = raw.tobytes()
-    prev_end = prev_doc = -1
+    # words with nothing but blanks between them are read together
+    runs: list[list[int]] = []
     for s, e, d in zip(start.tolist(), end.tolist(), doc.tolist()):
-        lo, hi = max(int(off[d]), s - 48), min(int(off[d + 1]), e + 24)
-        before, word, after = data[lo:s].decode(errors="ignore"), data[s:e].decode(errors="ignore"), data[e:hi].decode(errors="ignore")
-        close = d == prev_doc and not data[prev_end:s].strip(b" \t\n\r\x0b\x0c")
-        for m in _PIECE.finditer(word):
-            t = m.group()
-            if not (any("0" <= c <= "9" or c == "@" for c in t) or sum("A" <= c <= "Z" for c in t) >= CAPS):
-                close = False
-                continue
-            a = s + len(word[: m.start()].encode())
-            nodes.piece(d, (a, a + len(t.encode())), t, features(t, (before + word[: m.start()])[-48:], (word[m.end() :] + after)[:24]), close)
-            close = True
-        prev_end, prev_doc = e, d
+        if runs and runs[-1][2] == d and not data[runs[-1][1] : s].strip(b" \t"):
+            runs[-1][1] = e
+        else:
+            runs.append([s, e, d])
+    k, prev = 0, [-1, -1, -1]
+    for s, e, d in runs:
+        close = d == prev[2] and not data[prev[1] : s].strip(b" \t\n\r\x0b\x0c")
+        prev = [s, e, d]
+        lo, hi = int(off[d]), int(off[d + 1])
+        # spans behind key words are pieces as they are; the rest is cut up
+        parts, at = [], s
+        while k < len(values) and values[k][0] < e:
+            a, b = values[k]
+            k += 1
+            if a >= at:
+                parts += [(at, a, False), (a, min(b, e), True)]
+                at = min(b, e)
+        parts.append((at, e, False))
+        for a, b, whole in parts:
+            t = data[a:b].decode(errors="ignore")
+            plain = len(t) == b - a
+            for x, y in [(0, len(t))] if whole else _pieces(t):
+                piece = t[x:y]
+                if not (whole or any("0" <= c <= "9" or c == "@" for c in piece) or sum("A" <= c <= "Z" for c in piece) >= CAPS or is_ipv6(piece)):
+                    close = False
+                    continue
+                i, j = (a + x, a + y) if plain else (a + len(t[:x].encode()), a + len(t[:y].encode()))
+                nodes.piece(d, (i, j), piece, features(piece, *_around(data, lo, hi, i, j)), close)
+                close = True
     return nodes, raw, off
 
 
@@ -232,10 +370,11 @@ class Model:
         return np.stack([np.bincount(node, weights=w[:, k], minlength=n) for k in range(L)], axis=1)
 
     def label(self, nodes: Nodes, skip: bool = True) -> np.ndarray:
+        """Labels of the pieces; without skip each is judged by itself and its neighbours."""
         if not nodes.text:
             return np.zeros(0, np.int64)
-        edges = np.array([e for e in nodes.edges if skip or e[2] == CHAIN], dtype=np.int64).reshape(-1, 3)
-        return propagate(self.unary(*self.rows(nodes.feats), len(nodes.text)), edges, self.pair)[0].argmax(1)
+        feats, edges, _ = nodes.field(skip)
+        return propagate(self.unary(*self.rows(feats), len(feats)), edges, self.pair)[0][: len(nodes.text)].argmax(1)
 
 
 def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
@@ -249,7 +388,7 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
     def card() -> str:
         s = r.choice("3456") + num(14)
         s += next(c for c in string.digits if luhn(s + c))
-        return s if r.random() < 0.8 else "-".join(s[i : i + 4] for i in range(0, 16, 4))
+        return s if r.random() < 0.7 else r.choice("- ").join(s[i : i + 4] for i in range(0, 16, 4))
 
     def unpaid() -> str:
         """Digits like a card's whose checksum is wrong."""
@@ -257,14 +396,27 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
         return s + r.choice([c for c in string.digits if not luhn(s + c)])
 
     def phone() -> str:
-        a, b, c = r.choice("23456789") + num(2), r.choice(("555", num(3))), num(4)
-        return r.choice((f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {num(2, 3)} {num(3)} {num(4)}", f"+{num(11)}", f"+{num(1, 2)}-{a}-{b}-{c}"))
+        a, b, c = r.choice("23456789") + num(2), num(3), num(4)
+        return r.choice((f"+{num(2)} {num(1)} {num(2)} {num(2)} {num(2)} {num(2)}", f"+{num(2)} {num(3)} {num(6, 7)}", f"+1 ({a}) {b}-{c}", f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{num(2)} {num(2, 3)} {num(3)} {num(4)}", f"+{num(11)}", f"+{num(1, 2)}-{a}-{b}-{c}"))
 
     def email() -> str:
         return word() + r.choice((f".{num(2)}", "", f".{word()}", f"_{num(1)}", f"+{word()}")) + "@" + word() + r.choice(("", num(1))) + "." + r.choice(("example.com", "com", "org", "co.uk", "de", "net"))
 
     def ip() -> str:
-        return ".".join(str(r.randint(0, 255)) for _ in range(4))
+        return ".".join(map(str, r.choice(([r.randint(0, 255) for _ in range(4)],) * 4 + ([10, 0, r.randint(0, 9), r.randint(0, 255)], [192, 168, r.randint(0, 255), r.randint(0, 255)]))))
+
+    def ipv6() -> str:
+        k = r.randint(2, 6)
+        return r.choice((":".join(hexes(r.randint(1, 4)) for _ in range(8)), ":".join(hexes(4) for _ in range(k)) + "::" + hexes(r.randint(1, 4))))
+
+    def account() -> str:
+        """An account number with its checksum, in groups or not."""
+        land, body = r.choice(("DE", "FR", "GB", "ES", "IT", "NL", "CH")), num(r.choice((12, 14, 18, 18, 20)))
+        t = f"{land}{98 - int(''.join(str(int(c, 36)) for c in body + land + '00')) % 97:02d}{body}"
+        return t if r.random() < 0.5 else " ".join(t[i : i + 4] for i in range(0, len(t), 4))
+
+    def password() -> str:
+        return r.choice((word() + word(), word() + num(1, 4), word() + r.choice("!?@#$_-") + num(1, 3), "".join(r.choice((c, c, c.upper(), {"a": "@", "o": "0", "s": "$", "e": "3"}.get(c, c))) for c in word() + word()), base(r.randint(8, 16), string.ascii_letters + string.digits + "!@#$%^&*")))
 
     def secret() -> tuple[str, str]:
         """(words before, secret)"""
@@ -273,11 +425,14 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
             return r.choice(("", word() + " ", "aws_access_key_id = ")), r.choice(("AKIA", "AKIA", "ASIA")) + base(16, string.ascii_uppercase + "234567" + string.digits)
         if k < 0.4:
             return "", r.choice(("ghp_", "sk-", "sk_live_", "xoxb-")) + base(r.choice((24, 36, 40)))
-        s = r.choice((hexes(40), hexes(32), hexes(18), base(20), base(32), hexes(64), base(12)))
-        return r.choice((lambda: f'{r.choice(("token", "api_key", "secret", "apikey"))} = "', lambda: r.choice(("password=", "passwd=", "pwd=", "password: ", "secret: ", "token=", "key: ")), lambda: "Bearer "))(), s
+        if k < 0.6:
+            return r.choice(("password", "passwd", "pwd", "Password", "passphrase", "db_password")) + r.choice(("=", ": ", " = ", ' = "', "='", ":")), password()
+        s = r.choice((hexes, base))(r.randint(12, 64))
+        name = r.choice(("token", "api_key", "secret", "apikey", "api-key", "auth_token", "client_secret", "credentials", "password"))
+        return r.choice((f'{name} = "', f"{name} = '", f"{name}=", f"{name}: ", f'"{name}": "', "key: ", "Bearer ", "key=")), s
 
     def ident() -> tuple[str, str]:
-        return r.choice((("", f"{num(3)}-{num(2)}-{num(4)}"), ("ssn ", f"{num(3)}-{num(2)}-{num(4)}"), ("iban ", r.choice(("DE", "FR", "GB", "ES")) + num(20)), ("", r.choice(("DE", "FR", "ES")) + num(20))))
+        return r.choice((("", f"{num(3)}-{num(2)}-{num(4)}"), ("ssn ", f"{num(3)}-{num(2)}-{num(4)}"), ("iban ", account()), ("", account()), ("", r.choice(("DE", "FR", "ES")) + num(20))))
 
     def other() -> tuple[str, str]:
         return r.choice((
@@ -288,7 +443,8 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
             lambda: (r.choice(("commit ", "sha1 ", "md5 ", "revision ", "checksum: ", "blob ")), hexes(r.choice((40, 32, 64)))), lambda: ("", base(4, string.ascii_uppercase) + num(2, 6)),
             lambda: ("", f"{num(1, 3)}%"), lambda: ("", f"{num(2, 3)}-{num(2, 3)}"), lambda: ("key ", num(1, 3)), lambda: ("", base(r.randint(16, 24), string.ascii_uppercase)),
             lambda: ("", f"{num(1)}.{num(1)}.{num(1)}.{num(1)}.{num(1)}"), lambda: ("page ", num(1, 3)), lambda: ("", f"({num(1, 4)})"), lambda: ("", f"{r.randint(256, 999)}.{num(3)}.{num(3)}.{num(3)}"),
-            lambda: ("uuid ", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"), lambda: ("", f"{num(1, 3)} {num(1, 3)} {num(1, 3)}"),
+            lambda: (r.choice(("token: ", "secret: ", "the key: ", "the password ", "tokens: ", "keys: ", "pass: the ", "a token = ")), word() if r.random() < 0.7 else num(1, 3)), lambda: ("", f"{num(2)}:{num(2)}:{num(2)}"), lambda: ("", ":".join(hexes(2) for _ in range(6))),
+            lambda: ("", " ".join(num(4) for _ in range(r.choice((2, 3, 5))))), lambda: ("", f"+{num(1, 3)}"), lambda: ("uuid ", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}"), lambda: ("", f"{num(1, 3)} {num(1, 3)} {num(1, 3)}"),
         ))()
 
     out = []
@@ -296,15 +452,15 @@ def examples(n: int, seed: int) -> list[list[tuple[str, int]]]:
         seen: list[tuple[str, str, int]] = []
         for _ in range(r.randint(1, 5)):
             k = r.randint(1, 12)
-            pre, t = {1: lambda: ("", email()), 2: lambda: ("", phone()), 3: lambda: ("", ip()), 4: lambda: ("", card()), 5: secret, 6: ident}.get(k, other)()
+            pre, t = {1: lambda: ("", email()), 2: lambda: ("", phone()), 3: lambda: ("", ip() if r.random() < 0.7 else ipv6()), 4: lambda: ("", card()), 5: secret, 6: ident}.get(k, other)()
             seen.append((pre, t, k if k < 7 else 0))
         # later mentions lack the words that tell what the first one is
-        again = [(r.choice(("", "", word() + " ")), x[1], x[2]) for x in seen if r.random() < 0.4 for _ in range(r.randint(1, 2))]
+        again = [(r.choice(("", "", word() + " ")), x[1], x[2]) for x in seen if r.random() < 0.4 for _ in range(r.choice((1, 1, 2, 6)))]
         text: list[tuple[str, int]] = []
         for pre, t, k in seen + again:
             text.append((" ".join(word() for _ in range(r.choice((0, 1, 3, 6)))) + r.choice((" ", " ", "\n", ". ")) + pre, 0))
-            junk = r.choice(("", "", "", "", ".", ",", "%%%", "&&&", "$$$", "###", "***", "!!", ")"))
-            text += [(t, k), (('"' if pre.endswith('"') else "") + junk + " " + r.choice(("", word() + " ")), 0)]
+            junk = "" if r.random() < 0.4 else r.choice((".", ",", ")", r.choice(string.punctuation.translate({ord(c): None for c in "-+@/_.:"})) * r.randint(1, 4)))
+            text += [(t, k), ((pre[-1] if pre.endswith(('"', "'")) else "") + junk + " " + r.choice(("", word() + " ")), 0)]
         out.append(text)
     return out
 
@@ -331,14 +487,16 @@ def training_set(n: int, seed: int) -> tuple[Nodes, np.ndarray]:
 def train(n: int = N_TRAIN, seed: int = SEED, epochs: int = EPOCHS) -> Model:
     """Maximum likelihood with an L2 penalty, by Adam over all examples; expectations are those of belief propagation."""
     nodes, y = training_set(n, seed)
+    feats, edges, hubs = nodes.field()
+    # a hub is what its mentions are
+    y = np.concatenate([y, np.array([np.bincount(y[m], minlength=L).argmax() for m in hubs], dtype=np.int64)])
     count: dict[str, int] = {}
-    for fs in nodes.feats:
+    for fs in feats:
         for f in fs:
             count[f] = count.get(f, 0) + 1
     index = {f: i for i, f in enumerate(sorted(f for f, c in count.items() if c > 2))}
     m = Model(index, np.zeros((len(index), L)), np.zeros((2, L, L)))
-    place, node = m.rows(nodes.feats)
-    edges = np.array(nodes.edges, dtype=np.int64).reshape(-1, 3)
+    place, node = m.rows(feats)
     size, gold = len(y), np.eye(L)[y]
     gold_pair = np.zeros((2, L, L))
     np.add.at(gold_pair, (edges[:, 2], y[edges[:, 0]], y[edges[:, 1]]), 1)
@@ -362,7 +520,7 @@ def entities(text: pa.Array, model: Model) -> tuple[list[list[tuple[int, int, st
     """For each text the (start, end, label) of its entities, in bytes of that text; the buffer and the offsets."""
     nodes, raw, off = gather(text)
     out: list[list[tuple[int, int, str]]] = [[] for _ in range(len(text))]
-    chained = {b for _, b, k in nodes.edges if k == CHAIN}
+    chained = {b for _, b in nodes.chain}
     last = -2
     labels = model.label(nodes)
     for i in np.flatnonzero(labels > 0).tolist():

@@ -51,6 +51,55 @@ def test_labels_agree_across_a_document(model):
     assert a == [(KEY, "SECRET"), (KEY.upper(), "SECRET")] and b == []
 
 
+@pytest.mark.parametrize("n", [1, 9, 49, 199])
+def test_every_mention_is_found_however_many_there_are(model, n):
+    for first, v in ((f'token = "{KEY}" ', KEY), ("password=hunter&hunter ", "hunter&hunter"), ("password: p@ssw0rdx ", "p@ssw0rdx")):
+        assert found(model, first + f"the cat sat here then {v} . " * n) == [[(v, "SECRET")] * (n + 1)]
+        # the telling mention may be the last
+        assert found(model, f"the cat sat here then {v} . " * n + first) == [[(v, "SECRET")] * (n + 1)]
+
+
+def test_forms_that_training_did_not_copy(model):
+    want = {
+        "password=hunterhunter": ("hunterhunter", "SECRET"), "login with password: p@ssw0rd, then": ("p@ssw0rd", "SECRET"), "pwd='Tr0ub4dor&3' ok": ("Tr0ub4dor&3", "SECRET"),
+        "pay 4111 1111 1111 1111 now": ("4111 1111 1111 1111", "CARD"), "pay 5500-0000-0000-0004 now": ("5500-0000-0000-0004", "CARD"), "from 2001:db8:85a3::8a2e:370:7334 today": ("2001:db8:85a3::8a2e:370:7334", "IP"),
+        "to DE89 3704 0044 0532 0130 00 please": ("DE89 3704 0044 0532 0130 00", "ID"), "to GB82WEST12345698765432": ("GB82WEST12345698765432", "ID"), "call +33 1 23 45 67 89 today": ("+33 1 23 45 67 89", "PHONE"),
+        "tel (212) 555-1234 or": ("(212) 555-1234", "PHONE"), "host 192.168.17.4 is": ("192.168.17.4", "IP"), "ssn 078-05-1120 is": ("078-05-1120", "ID"), "write to First.Last+x@sub.uni-abc.ac.uk.": ("First.Last+x@sub.uni-abc.ac.uk", "EMAIL"),
+    }
+    assert dict(zip(want, found(model, *want))) == {t: [e] for t, e in want.items()}
+    clean = ["at 10:30:45 on 12:34", "the secret: nobody knows", "token: the end", "mac aa:bb:cc:dd:ee:ff", "card no. 4111111111111112", "in 1999 and 2024, 17 % of 3,000", "the password is never sent", "see chapter 12.3.4", ""]
+    assert found(model, *clean) == [[] for _ in clean]
+
+
+def test_messages_with_loops_against_enumeration(model):
+    """Two keys side by side twice: pieces 0-3, hubs 4 and 5, one loop of six."""
+    edges = np.array([[0, 1, 0], [2, 3, 0], [0, 4, 1], [2, 4, 1], [1, 5, 1], [3, 5, 1]])
+    g = np.random.default_rng(2)
+    unary = np.zeros((6, pii.L))
+    unary[4:] = g.normal(size=(2, pii.L)) * 2
+    score = np.zeros((pii.L,) * 6)
+    for i in range(6):
+        score = score + unary[i].reshape([-1 if j == i else 1 for j in range(6)])
+    for a, b, k in edges:
+        score = score + model.pair[k].reshape([pii.L if j in (a, b) else 1 for j in range(6)])
+    p = np.exp(score - score.max())
+    p /= p.sum()
+    got = np.exp(pii.propagate(unary, edges, model.pair)[0])
+    for i in range(6):
+        want = p.sum(axis=tuple(j for j in range(6) if j != i))
+        assert got[i].argmax() == want.argmax() and np.abs(got[i] - want).max() < 0.1
+
+
+def test_very_long_words_and_texts(model):
+    key = "9f" * 20
+    assert found(model, "x" * 500000 + f' token = "{key}" ' + "1,2," * 100000 + f" {key}")[0] == [(key, "SECRET")] * 2
+
+
+def test_values_do_not_reach_into_the_next_text(model):
+    assert found(model, "password:", "hunterhunter and more", "pwd=", "a", "pwd=hunterhunter") == [[], [], [], [], [("hunterhunter", "SECRET")]]
+    assert found(model, "mypwd=hunterhunter") == [[]]
+
+
 def test_tables(spark):
     t = "ünï a.b@c.example.com — 4785380592391139"
     rows = [(1, t, 9, "x"), (1, t, 9, "x"), (None, t, 9, "x"), (2, None, 9, "x"), (3, "", 0, "x"), (4, "plain words", 11, "x"), (5, "12345 " * 20000, 1, "x")]
