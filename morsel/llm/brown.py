@@ -11,13 +11,14 @@ P(w | v) = P(class(w) | class(v)) * P(w | class(w)).
    table in Spark before each sweep; class counts follow every move. Sweeps go on until one gains less than GAIN of all that
    was gained, or the exact likelihood falls; the best classes are kept.
 4. Then each rarer word moves by one exchange step, in Spark, to the class that raises the likelihood most while the counts of
-   the clustering stay fixed; its neighbours that are rare themselves count as their kinds in that step. Counts of class pairs
-   are then taken anew from all words.
-5. Class transitions are absolutely discounted towards class frequencies, and every word is emitted by its own count in its
-   class. Words are joined to documents by tables. A word that training never saw has the class of its kind, which backing off
-   alone leads to. build_vocabulary() and estimate() without a table emit a word of a kind with 1 / (distinct words + 1).
-
-Cases: a null text has null figures; an empty one only the boundary pair; repeated rows are counted and scored each; a null
+   the clustering stay fixed; its neighbours that are rare themselves count as their kinds in that step.
+5. Documents are written as classes, one byte a word: frequent words and the HELD_WORDS most frequent rare ones are looked up, a
+   bounded table, the rest joined. Counts of class pairs are then taken anew from all words of all documents.
+6. Class transitions are absolutely discounted towards class frequencies, and every word is emitted by its own count in its
+   class. A word that training never saw has the class of its kind, which backing off alone leads to. build_vocabulary() and
+   estimate() without a table emit a word of a kind with 1 / (distinct words + 1).
+
+Cases: very long texts are read whole; of classes that are equally good the first is taken; a null text has null figures; an empty one only the boundary pair; repeated rows are counted and scored each; a null
 doc_id is scored as any other; other columns are ignored; an empty table gives a uniform model and no rows.
 """
 
@@ -40,6 +41,8 @@ GAIN = 1e-4
 ID_BITS = 20
 #: Distinct keys a task holds before it passes them on.
 HELD = 4_000_000
+#: Rare words that workers hold with their classes and counts; the others are joined.
+HELD_WORDS = 1 << 20
 
 
 def tokens(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -259,29 +262,16 @@ def cluster(pairs: DataFrame, voc: Vocabulary, n_classes: int = CLASSES, sweeps:
 
 
 def _rare_neighbours(texts: Iterator[tuple[pa.Array, pa.RecordBatch]], voc: Vocabulary, classes: np.ndarray, total: int) -> Iterator[pa.RecordBatch]:
-    """(key, cell, n) of rare words: cell is the class of the word after, or total + that of the word before."""
+    """(key, near, n) of rare words: near is total * (class of the word after) + class of the word before."""
     n = len(voc.codes)
     for text, _ in texts:
         ids, code = _coded(text, voc)[:2]
         at = np.flatnonzero((ids >= n) & (ids < voc.boundary))
-        key, cell = np.concatenate([code[at], code[at]]), np.concatenate([classes[ids[at + 1]], total + classes[ids[at - 1]]])
-        yield _grouped(key, cell, "cell", pa.int32())
-
-
-def _rare_pairs(texts: Iterator[tuple[pa.Array, pa.RecordBatch]], voc: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """(key, next, n) of neighbours that are both rare."""
-    for text, _ in texts:
-        ids, code = _coded(text, voc)[:2]
-        rare = (ids >= len(voc.codes)) & (ids < voc.boundary)
-        at = np.flatnonzero(rare[:-1] & rare[1:])
-        yield _grouped(code[at], code[at + 1].view(np.int64), "next", pa.int64())
-
-
-def _grouped(key: np.ndarray, other: np.ndarray, name: str, kind: pa.DataType) -> pa.RecordBatch:
-    order = np.lexsort((other, key))
-    key, other = key[order], other[order]
-    at = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (other[1:] != other[:-1]))) if len(key) else np.zeros(0, np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), pa.array(other[at], kind), pa.array(np.diff(np.append(at, len(key))))], names=["key", name, "n"])
+        key, near = code[at], total * classes[ids[at + 1]] + classes[ids[at - 1]]
+        order = np.lexsort((near, key))
+        key, near = key[order], near[order]
+        first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (near[1:] != near[:-1]))) if len(key) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(key[first].view(np.int64)), pa.array(near[first].astype(np.int16)), pa.array(np.diff(np.append(first, len(key))).astype(np.int32))], names=["key", "near", "n"])
 
 
 def _coded(text: pa.Array, voc: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -312,12 +302,12 @@ def place(key_of: np.ndarray, cell: np.ndarray, n: np.ndarray, words: int, grid:
     return gain.argmax(1)
 
 
-def place_rare(docs: DataFrame, voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, n_classes: int, scratch: Scratch, text_col: str = "text") -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    """(key, class, n) of all rare words, counts of class pairs with each in its class, and the words' counts by class."""
+def place_rare(docs: DataFrame, voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, n_classes: int, text_col: str = "text") -> DataFrame:
+    """(key, class, n) of all rare words."""
     total = len(grid)
     held = docs.sparkSession.sparkContext.broadcast((voc, classes, grid))
     slim = _lowered(docs, text_col).filter("text is not null")
-    near = slim.mapInArrow(lambda it: _rare_neighbours(_blocks_of(it), *held.value[:2], total), "key long, cell int, n long").groupBy("key", "cell").agg(F.sum("n").alias("n"))
+    near = slim.mapInArrow(lambda it: _rare_neighbours(_blocks_of(it), *held.value[:2], total), "key long, near short, n int")
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -325,31 +315,17 @@ def place_rare(docs: DataFrame, voc: Vocabulary, classes: np.ndarray, grid: np.n
                 b = batch.slice(i, 4096)
                 size = np.diff(b.column(1).offsets.to_numpy())
                 x = b.column(1).flatten()
-                cell, n = x.field("cell").to_numpy(), x.field("n").to_numpy()
+                both, n = x.field("near").to_numpy().astype(np.int64), x.field("n").to_numpy()
                 word = np.repeat(np.arange(len(b)), size)
-                to = place(word, cell, n, len(b), held.value[2], n_classes)
-                count = np.bincount(word[cell < total], weights=n[cell < total], minlength=len(b)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to.astype(np.int32)), pa.array(count), b.column(1)], names=["key", "class", "n", "near"])
-
-    kind = "array<struct<cell:int,n:bigint>>"
-    listed = near.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("cell", "n"))).alias("near"))
-    rare = scratch.write(listed.mapInArrow(run, f"key long, class int, n long, near {kind}"), "rare")
-    full = grid.copy()
-    kinds = slice(n_classes, n_classes + KINDS)
-    full[kinds] = full[:, kinds] = 0
-    for r in rare.select("class", F.explode("near").alias("x")).groupBy("class", "x.cell").agg(F.sum("x.n").alias("n")).collect():
-        other = r["cell"] % total
-        if not n_classes <= other < n_classes + KINDS:
-            full[(r["class"], other) if r["cell"] < total else (other, r["class"])] += r["n"]
-    table = rare.select("key", "class", "n")
-    pairs = slim.mapInArrow(lambda it: _rare_pairs(_blocks_of(it), held.value[0]), "key long, next long, n long").groupBy("key", "next").agg(F.sum("n").alias("n"))
-    ends = table.select(F.col("key").alias("next"), F.col("class").alias("b"))
-    for r in pairs.join(table.select("key", F.col("class").alias("a")), "key").join(ends, "next").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        full[r["a"], r["b"]] += r["n"]
-    sizes = np.zeros(total, dtype=np.int64)
-    for r in table.groupBy("class").agg(F.sum("n").alias("n")).collect():
-        sizes[r["class"]] = r["n"]
-    return table, full, sizes
+                order = np.argsort(np.concatenate([word, word]), kind="stable")
+                cell, twice = np.concatenate([both // total, total + both % total])[order], np.concatenate([n, n])[order]
+                to = place(np.concatenate([word, word])[order], cell, twice, len(b), held.value[2], n_classes)
+                count = np.bincount(word, weights=n, minlength=len(b)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to.astype(np.int32)), pa.array(count)], names=["key", "class", "n"])
+
+    # one exchange by word serves both steps; no word is frequent here, and its list has at most total ** 2 entries
+    listed = near.repartition("key").groupBy("key", "near").agg(F.sum("n").alias("n")).groupBy("key").agg(F.collect_list(F.struct("near", "n")).alias("near"))
+    return listed.mapInArrow(run, "key long, class int, n long")
 
 
 @dataclass
@@ -361,6 +337,8 @@ class Model:
     transition: np.ndarray
     emission: np.ndarray
     rare: DataFrame | None = None
+    #: Words of each class; 1 where there are none and for classes that say what the word is.
+    sizes: np.ndarray | None = None
 
 
 def estimate(voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, discount: float = DISCOUNT, rare: DataFrame | None = None, rare_sizes: np.ndarray | int = 0) -> Model:
@@ -375,11 +353,13 @@ def estimate(voc: Vocabulary, classes: np.ndarray, grid: np.ndarray, discount: f
     emit = np.concatenate([np.log(voc.counts / size[classes[:n]]), -np.log(voc.kind_types + 1.0), [0.0]])
     if rare is not None:
         of = F.element_at(F.array(*(F.lit(float(x)) for x in size)), F.col("class") + 1)
-        rare = rare.select("key", "class", F.log(F.col("n") / of).alias("emission"))
-    return Model(voc, classes, np.log(p), emit, rare)
+        rare = rare.select("key", "class", "n", F.log(F.col("n") / of).alias("emission"))
+    size[np.arange(total) >= total - KINDS - 1] = 1
+    return Model(voc, classes, np.log(p), emit, rare, size)
 
 
-def fit(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES, sweeps: int | None = None, text_col: str = "text") -> Model:
+def _fit(docs: DataFrame, min_share: float, n_classes: int, sweeps: int | None, text_col: str, id_col: str | None) -> tuple[Model, DataFrame | None]:
+    """The model, and the documents in classes where it has rare words."""
     scratch = Scratch(docs.sparkSession, "brown")
     voc = build_vocabulary(docs, scratch, min_share, text_col)
     if len(voc.codes) + KINDS + 1 > 1 << ID_BITS:
@@ -388,16 +368,31 @@ def fit(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES,
     classes, grid, _ = cluster(pairs, voc, n_classes, sweeps)
     scratch.drop("pairs")
     if not voc.kind_types.any():
-        return estimate(voc, classes, grid)
-    rare, grid, sizes = place_rare(docs, voc, classes, grid, n_classes, scratch, text_col)
+        return estimate(voc, classes, grid), None
+    rare = scratch.write(place_rare(docs, voc, classes, grid, n_classes, text_col), "rare")
+    sizes = np.zeros(len(grid), dtype=np.int64)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n")).collect():
+        sizes[r["class"]] = r["n"]
     voc = replace(voc, kind_counts=np.zeros(KINDS, np.int64), kind_types=np.zeros(KINDS, np.int64))
-    return estimate(voc, classes, grid, rare=rare, rare_sizes=sizes)
+    classed = class_documents(docs, voc, classes, rare, scratch, text_col, id_col)
+    grid = class_pairs(classed, int(classes[voc.boundary]), len(grid))
+    return estimate(voc, classes, grid, rare=rare, rare_sizes=sizes), classed
+
+
+def fit(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES, sweeps: int | None = None, text_col: str = "text") -> Model:
+    return _fit(docs, min_share, n_classes, sweeps, text_col, None)[0]
+
+
+def fit_and_score(docs: DataFrame, min_share: float = MIN_SHARE, n_classes: int = CLASSES, sweeps: int | None = None, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """score_documents() of the documents that the model is made of; they are put in classes once for both."""
+    model, classed = _fit(docs, min_share, n_classes, sweeps, text_col, id_col)
+    return score_documents(docs, model, text_col, id_col) if classed is None else _score_classed(classed, model)
 
 
 def score_documents(docs: DataFrame, model: Model, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_words, log_prob, perplexity) of every document; the closing boundary counts as a word of the perplexity."""
     if model.rare is not None:
-        return _score_all_words(docs, model, text_col, id_col)
+        return _score_classed(class_documents(docs, model.voc, model.classes, model.rare, Scratch(docs.sparkSession, "brown_score"), text_col, id_col), model)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -415,57 +410,124 @@ def score_documents(docs: DataFrame, model: Model, text_col: str = "text", id_co
     return _lowered(docs, text_col, id_col).mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
 
 
-def _score_all_words(docs: DataFrame, model: Model, text_col: str, id_col: str) -> DataFrame:
-    """score_documents() where rare words are a table: documents are coded once, and their rare words joined."""
+def held_words(rare: DataFrame, most: int = HELD_WORDS) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], DataFrame]:
+    """(codes in ascending order, classes, counts) of the rare words from some count on, at most `most` of them; and the others."""
+    size, least = 0, None
+    # distinct counts of rare words grow as the square root of the corpus at most
+    for r in rare.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toLocalIterator():
+        size += r["words"]
+        if size > most:
+            break
+        least = r["n"]
+    if least is None:
+        return (np.zeros(0, U64), np.zeros(0, np.int64), np.zeros(0, np.int64)), rare
+    got = rare.filter(F.col("n") >= least).select("key", "class", "n").toArrow()
+    code = got["key"].to_numpy().view(U64)
+    order = np.argsort(code)
+    return (code[order], got["class"].to_numpy()[order].astype(np.int64), got["n"].to_numpy()[order]), rare.filter(F.col("n") < least)
+
+
+#: Stands for a word whose class a join will tell.
+LATER = 255
+
+
+def class_documents(docs: DataFrame, voc: Vocabulary, classes: np.ndarray, rare: DataFrame, scratch: Scratch, text_col: str, id_col: str | None, most: int = HELD_WORDS) -> DataFrame:
+    """(doc_id, empty, classes, log_n): the class of each word of each document, one byte each, and the sum of its words' log-counts.
+
+    Workers hold the frequent words and at most HELD_WORDS of the rare ones; the others come by a join.
+    """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(replace(model, rare=None))
-    scratch = Scratch(spark, "brown_score")
+    known, rest = held_words(rare, most)
+    if classes.max(initial=0) >= LATER:
+        raise ValueError(f"classes must be fewer than {LATER}")
+    held = spark.sparkContext.broadcast((voc, classes, known))
 
     def code(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc = held.value.voc
-        n = len(voc.codes)
+        voc, classes, (codes, to, count) = held.value
+        log_count = np.log(np.concatenate([voc.counts, count, [1]]))
         for text, rows in _blocks_of(it):
-            ids, codes, first = _coded(text, voc)
-            own, rare = [], []
-            for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-                x, c = ids[a:b].astype(np.int32), codes[a:b]
-                at = np.flatnonzero((x >= n) & (x < voc.boundary))
-                distinct, place = np.unique(c[at], return_inverse=True)
-                x[at] = voc.boundary + 1 + place
-                own.append(x.tobytes())
-                rare.append(distinct.view(np.int64))
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rare)]), pa.int32()), pa.array(np.concatenate(rare)))
-            yield pa.RecordBatch.from_arrays([rows.column(0), text.is_null(), pa.array(own, pa.binary()), lists], names=["doc_id", "empty", "ids", "rare"])
-
-    coded = _lowered(docs, text_col, id_col).mapInArrow(code, "doc_id long, empty boolean, ids binary, rare array<long>")
+            word, first = tokens(text)
+            ids = voc.ids(word)
+            own, place = classes[ids].astype(np.uint8), np.minimum(ids, len(voc.codes))
+            at = np.flatnonzero(ids >= len(voc.codes))
+            place[at] = len(log_count) - 1
+            own[at] = LATER
+            if len(codes):
+                near = np.minimum(np.searchsorted(codes, word[at]), len(codes) - 1)
+                hit = codes[near] == word[at]
+                own[at[hit]], place[at[hit]] = to[near[hit]], len(voc.codes) + near[hit]
+            later = np.flatnonzero(own == LATER)
+            some = np.searchsorted(later, first)
+            data = own.tobytes()
+            cols = [pa.array([data[a:b] for a, b in zip(first[:-1].tolist(), first[1:].tolist())], pa.binary()), pa.array(segment_sum(log_count[place], first)), pa.ListArray.from_arrays(pa.array(some, pa.int32()), pa.array(word[later].view(np.int64)))]
+            yield pa.RecordBatch.from_arrays([rows.column(0), text.is_null(), *cols], names=["doc_id", "empty", "classes", "log_n", "later"])
+
+    slim = _lowered(docs, text_col, id_col) if id_col else docs.select(F.lit(None).cast("long").alias("doc_id"), F.lower(docs[text_col].cast("string")).alias("text"))
+    coded = slim.mapInArrow(code, "doc_id long, empty boolean, classes binary, log_n double, later array<long>")
     coded = scratch.write(coded.withColumn("row", F.monotonically_increasing_id()), "coded")
-    known = coded.select("row", F.explode("rare").alias("key")).join(model.rare, "key").groupBy("row").agg(F.collect_list(F.struct("key", "class", "emission")).alias("known"))
+    asked = coded.filter("size(later) > 0")
+    told = asked.select("row", F.explode(F.array_distinct("later")).alias("key")).join(rest.select("key", "class", "n"), "key").groupBy("row").agg(F.collect_list(F.struct("key", "class", "n")).alias("told"))
+    none = F.array().cast("array<struct<key:bigint,class:int,n:bigint>>")
+
+    def fill(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, classes, _ = held.value
+        for b in it:
+            own, logs = [], b.column(3).to_numpy().copy()
+            for i, (data, later, told) in enumerate(zip(b.column(2).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist())):
+                c = np.frombuffer(data, np.uint8).copy()
+                word = np.array(later, dtype=np.int64)
+                # a word that training never saw has the class of its kind
+                to, count = classes[len(voc.codes) + (word & 7)], np.ones(len(word))
+                if told:
+                    t = np.array(sorted((x["key"], x["class"], x["n"]) for x in told), dtype=np.int64)
+                    at = np.minimum(np.searchsorted(t[:, 0], word), len(t) - 1)
+                    hit = t[at, 0] == word
+                    to[hit], count[hit] = t[at[hit], 1], t[at[hit], 2]
+                c[c == LATER] = to
+                logs[i] += np.log(count).sum()
+                own.append(c.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.binary()), pa.array(logs)], names=["doc_id", "empty", "classes", "log_n"])
+
+    filled = asked.join(told, "row", "left").select("doc_id", "empty", "classes", "log_n", "later", F.coalesce("told", none).alias("told")).mapInArrow(fill, "doc_id long, empty boolean, classes binary, log_n double")
+    scratch.write(filled, "filled")
+    whole = coded.filter("size(later) = 0").select("doc_id", "empty", "classes", "log_n")
+    return whole.unionByName(spark.read.schema(whole.schema).parquet(f"{scratch.root}/filled"))
+
+
+def class_pairs(classed: DataFrame, edge: int, total: int) -> np.ndarray:
+    """Counts of class pairs in all documents, each between two boundaries."""
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        n, base = len(m.voc.codes), m.voc.boundary + 1
+        sums = np.zeros(total * total, dtype=np.int64)
         for b in it:
+            data = [x for x in b.column(0).to_pylist()]
+            c = np.frombuffer(bytes([edge]) + b"".join(x + bytes([edge]) for x in data), np.uint8).astype(np.int64)
+            sums += np.bincount(c[:-1] * total + c[1:], minlength=total * total)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[at])], names=["cell", "n"])
+
+    grid = np.zeros(total * total, dtype=np.int64)
+    for r in classed.filter("not empty").select("classes").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+        grid[r["cell"]] = r["n"]
+    return grid.reshape(total, total)
+
+
+def _score_classed(classed: DataFrame, model: Model) -> DataFrame:
+    edge, total = int(model.classes[model.voc.boundary]), len(model.transition)
+    held = classed.sparkSession.sparkContext.broadcast((model.transition, np.log(model.sizes)))
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        transition, log_size = held.value
+        for b in it:
+            data = b.column(2).to_pylist()
+            n = np.array([len(x) for x in data], dtype=np.int64)
+            c = np.frombuffer(b"".join(bytes([edge]) + x + bytes([edge]) for x in data), np.uint8).astype(np.int64)
+            first = np.concatenate([[0], np.cumsum(n + 2)])
+            step = np.zeros(len(c))
+            step[1:] = transition[c[:-1], c[1:]] - log_size[c[1:]]
+            step[first[:-1]] = 0
+            whole = segment_sum(step, first) + b.column(3).to_numpy()
             empty = b.column(1).to_numpy(zero_copy_only=False)
-            rare, known = b.column(3), b.column(4)
-            r, k = rare.offsets.to_numpy(), known.offsets.to_numpy()
-            keys, near = rare.values.to_numpy(), known.values
-            key, cls, emission = (near.field(c).to_numpy() for c in ("key", "class", "emission"))
-            total, size = np.zeros(len(b)), np.zeros(len(b), np.int64)
-            for i, own in enumerate(b.column(2).to_pylist()):
-                ids = np.frombuffer(own, np.int32)
-                # rare words in the order of their unsigned codes, as they were numbered
-                code = keys[r[i] : r[i + 1]].view(U64)
-                kind = n + (code & U64(7)).astype(np.int64)
-                to, emit = m.classes[kind], m.emission[kind]
-                at = np.searchsorted(code, key[k[i] : k[i + 1]].view(U64))
-                to[at], emit[at] = cls[k[i] : k[i + 1]], emission[k[i] : k[i + 1]]
-                c, e = np.empty(len(ids), np.int64), np.empty(len(ids))
-                often = ids < base
-                c[often], e[often] = m.classes[ids[often]], m.emission[ids[often]]
-                c[~often], e[~often] = to[ids[~often] - base], emit[ids[~often] - base]
-                total[i], size[i] = (m.transition[c[:-1], c[1:]] + e[1:]).sum(), len(ids) - 2
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, mask=empty) for x in (size, total, np.exp(np.minimum(-total / (size + 1), 700))))], names=["doc_id", "n_words", "log_prob", "perplexity"])
-
-    none = F.array().cast("array<struct<key:bigint,class:int,emission:double>>")
-    joined = coded.join(known, "row", "left").select("doc_id", "empty", "ids", "rare", F.coalesce("known", none).alias("known"))
-    return joined.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, mask=empty) for x in (n, whole, np.exp(np.minimum(-whole / (n + 1), 700))))], names=["doc_id", "n_words", "log_prob", "perplexity"])
+
+    return classed.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")

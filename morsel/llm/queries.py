@@ -39,8 +39,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return brown.score_documents(docs, brown.fit(docs))
+    return brown.fit_and_score(table(spark, sf_dir, "documents"))
 
 
 def op8_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -135,5 +135,10 @@ def test_rare_words_have_their_own_counts_and_classes(spark):
         e = [place[w][1] for w in RX.findall(t.lower())] if t is not None else []
         want[str((d, None if t is None else round(float(sum(e) + sum(m.transition[a, b] for a, b in zip(c, c[1:]))), 6)))] += 1
     assert Counter(str((r.doc_id, None if r.log_prob is None else round(r.log_prob, 6))) for r in B.score_documents(df, m).collect()) == want
+    assert Counter(str((r.doc_id, None if r.log_prob is None else round(r.log_prob, 6))) for r in B.fit_and_score(df, 1e-2, 5).collect()) == want
+    # the same where workers hold few rare words, or none, and the others are joined
+    for most in (0, 3):
+        classed = B.class_documents(df, m.voc, m.classes, m.rare, Scratch(spark, "held"), "text", "doc_id", most)
+        assert Counter(str((r.doc_id, None if r.log_prob is None else round(r.log_prob, 6))) for r in B._score_classed(classed, m).collect()) == want
     new = spark.createDataFrame([(1, "neverseen emu")], "doc_id long, text string")
     assert np.isfinite(B.score_documents(new, m).first().log_prob)
