@@ -1,24 +1,27 @@
-"""Nearest neighbours of every vector by additive quantisation (operator 2).
+"""Nearest neighbours by additive quantisation (operator 2): for each row whose id EVERY divides, the k nearest of all rows.
 
 A vector is the sum of one full-dimensional codeword from each of BOOKS codebooks of WORDS words, and an error.
 
-1. Codebooks start as residual k-means over START rows of least hashed id (first values only). Then, ROUNDS times, every row is
-   encoded by beam search and all codebooks are solved together by least squares over the counts of all rows.
+1. The index is started on a bounded sample, the START rows of least hashed id: centres of about sqrt(n) / 32 cells (START / 16
+   at most), and codebooks by residual k-means. Then, ROUNDS times, every row is encoded by beam search and all codebooks are
+   solved together by least squares over the counts of all rows.
 2. Each row x is stored as its code, the squared norm of the sum s of its codewords, and the norm of its error e = x - s, in
-   the cell of the nearest of about sqrt(n) / 32 centres; cells of more than BLOCK rows are cut into parts by hashed id.
-3. Each row asks its own part first. Dot products with all codewords make its lookup table; the score of a row is
+   its cell; cells of more than BLOCK rows are cut into parts by hashed id.
+3. Each query asks its own part first. Dot products with all codewords make its lookup table; the score of a row is
    |q - s|^2 = |q|^2 + |s|^2 - 2 * (table sums). Exact distances of the k best scores bound the k-th distance. As
    |q - x| >= |q - s| - |e| whatever e depends on, only rows with |q - s| - |e| within that bound are compared exactly.
 4. Then it asks the parts of every cell that can hold a nearer row: those for which (distance to centre - radius) is within
    its k-th distance.
 
-Both bounds are exact, so the neighbours are those of brute force, copies included. On vectors without any cluster structure
-they rule out little: all pairs are scored by table and most are compared. Tasks are tiles of at most about BLOCK rows by
-QUERIES queries.
+Both bounds are exact, so the neighbours are those of brute force (recall 1), copies included, and SQL can check them. Rows move
+twice, once for each step, however many queries there are: a part goes to one task for each QUERIES queries that ask it, counted
+beforehand, and a query to the parts that it asks. On clustered vectors those are few. On vectors without any cluster structure
+no cell can be ruled out: every query meets every part, so queries moved and scores grow as n * n / EVERY there.
 
 Cases: a null vector or id, another dimension than the most common (the least of equals), null, infinite or NaN elements: no
-row, neither as query nor as neighbour; rows that share an id are one vector, the least; ties in distance go to the smaller id;
-fewer than k others give fewer rows; other columns are ignored; an empty table gives no rows.
+row, neither as query nor as neighbour; so is an id that is no number; rows that share an id are one vector, the least; ties in
+distance go to the smaller id; fewer than k others give fewer rows; other columns are ignored; an empty table gives no rows.
+Vectors have no text; very long ones only make fewer rows a part, as BLOCK_MB bounds their bytes.
 """
 
 from __future__ import annotations
@@ -32,11 +35,12 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from morsel.llm.common import Scratch, ranges
 
 BOOKS, WORDS, BEAM, ROUNDS = 16, 64, 8, 2
-START, BLOCK, QUERIES = 8192, 8192, 65536
+START, BLOCK, QUERIES, BLOCK_MB, EVERY = 8192, 65536, 65536, 32, 100
 #: Relative rounding error allowed to single precision.
 ROUNDING = 1e-5
 
@@ -116,7 +120,7 @@ def _exact(base: np.ndarray, row: np.ndarray, q: np.ndarray, col: np.ndarray, mo
 def search_block(base: np.ndarray, code: np.ndarray, norm: np.ndarray, err: np.ndarray, ids: np.ndarray, q: np.ndarray, q_ids: np.ndarray, tau: np.ndarray | None, k: int, books: np.ndarray, chunk: int = 128) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query, squared distances, ids): the k nearest rows of a block for each query, itself apart.
 
-    tau: squared distances that are of interest for each query; None: those of the k first by score bound the rest.
+    tau: squared distances that are of interest for each query, None if not known; those of the k first by score bound them too.
     """
     m, words, d = books.shape
     flat = books.reshape(m * words, d)
@@ -136,14 +140,13 @@ def search_block(base: np.ndarray, code: np.ndarray, norm: np.ndarray, err: np.n
         score += qn
         own = ids[:, None] == q_ids[None, i : i + chunk]
         score[own] = np.inf
-        if tau is None:
-            w = min(k, len(base))
-            first = np.argpartition(score, w - 1, axis=0)[:w] if w < len(base) else np.arange(len(base))[:, None].repeat(len(part), 1)
-            exact = _exact(base, first.ravel(), part, np.tile(np.arange(len(part)), w)).reshape(first.shape)
-            exact[np.take_along_axis(own, first, 0)] = np.inf
-            limit = exact.max(0) if w == k else np.full(len(part), np.inf)
-        else:
-            limit = tau[i : i + chunk]
+        w = min(k, len(base))
+        first = np.argpartition(score, w - 1, axis=0)[:w] if w < len(base) else np.arange(len(base))[:, None].repeat(len(part), 1)
+        exact = _exact(base, first.ravel(), part, np.tile(np.arange(len(part)), w)).reshape(first.shape)
+        exact[np.take_along_axis(own, first, 0)] = np.inf
+        limit = exact.max(0) if w == k else np.full(len(part), np.inf)
+        if tau is not None:
+            limit = np.minimum(limit, tau[i : i + chunk])
         slack = ROUNDING * (longest + np.sqrt(qn)) ** 2
         ok = score <= (np.sqrt(limit).astype(np.float32) + err[:, None]) ** 2 + slack
         ok &= ~own
@@ -217,7 +220,7 @@ def fit(rows: DataFrame, n: int, books: int = BOOKS, words: int = WORDS, rounds:
     """Codec of packed rows (vec_id, v)."""
     first = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(start).toPandas()
     x = _matrix(first["v"], len(first["v"].iloc[0]) // 4)
-    cells = max(1, round(math.sqrt(n) / 32))
+    cells = min(max(1, round(math.sqrt(n) / 32)), max(1, start // 16))
     codec = Codec(start_books(x, books, words), kmeans(x, cells).astype(np.float32))
     for _ in range(rounds):
         codec = _refine(rows, codec)
@@ -250,8 +253,13 @@ def _block(pdf: pd.DataFrame, d: int, m: int) -> tuple[np.ndarray, ...]:
     return _matrix(pdf["v"], d), _matrix(pdf["code"], m, np.uint8), pdf["norm"].to_numpy(), pdf["err"].to_numpy(), pdf["vec_id"].to_numpy()
 
 
-def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(vec_id, rank, neighbour_id, distance): the k nearest others of every vector by Euclidean distance."""
+def plan_tiles(asked: int, queries: int = QUERIES) -> int:
+    """Tasks that a part goes to when so many queries ask it: one, but for more queries than a task should hold."""
+    return max(1, -(-asked // queries))
+
+
+def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding", block: int = BLOCK, every: int = 1, queries: int = QUERIES) -> DataFrame:
+    """(vec_id, rank, neighbour_id, distance): the k nearest others, by Euclidean distance, of every vector whose id `every` divides."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "ann")
     rows = scratch.write(clean_vectors(vectors, id_col, vec_col).mapInArrow(_packed, "vec_id long, v binary"), "rows")
@@ -260,30 +268,42 @@ def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col:
         return spark.createDataFrame([], "vec_id long, rank int, neighbour_id long, distance double")
     codec = fit(rows, n)
     m, _, d = codec.books.shape
+    block = max(1, min(block, (BLOCK_MB << 20) // (4 * d)))
     held = spark.sparkContext.broadcast(codec)
     stored = scratch.write(encode_rows(rows, codec), "stored")
-    # about sqrt(n) / 32 rows
+    # at most START / 16 rows
     cells = [(r["cell"], -(-r["n"] // block), r["radius"]) for r in stored.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()]
     parts = spark.createDataFrame([c[:2] for c in cells], "cell int, parts int")
     placed = stored.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("vec_id"), "parts").cast("int")).drop("parts", "away")
+    asking = placed.filter(F.col("vec_id") % every == 0).select("cell", "part", "vec_id", "v", F.lit(float("inf")).alias("tau"))
 
-    def own(pdf: pd.DataFrame) -> pd.DataFrame:
-        base, code, norm, err, ids = _block(pdf, d, m)
+    def search(base_pdf: pd.DataFrame, q_pdf: pd.DataFrame) -> pd.DataFrame:
+        if not len(base_pdf) or not len(q_pdf):
+            return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "v": pd.Series(dtype="object"), "cell": pd.Series(dtype="int32"), "part": pd.Series(dtype="int32"), "tau": pd.Series(dtype="float64"), "found": pd.Series(dtype="object")})
         found, tau = [], []
-        for _, dist, near in search_block(base, code, norm, err, ids, base, ids, None, k, held.value.books):
+        ids = q_pdf["vec_id"].to_numpy()
+        for _, dist, near in search_block(*_block(base_pdf, d, m), _matrix(q_pdf["v"], d), ids, q_pdf["tau"].to_numpy(), k, held.value.books):
             found.append([{"distance": a, "neighbour_id": b} for a, b in zip(dist.tolist(), near.tolist())])
             tau.append(float(dist[-1]) if len(dist) == k else float("inf"))
-        return pd.DataFrame({"vec_id": ids, "v": pdf["v"], "cell": pdf["cell"], "part": pdf["part"], "tau": tau, "found": found})
-
-    first = scratch.write(placed.groupBy("cell", "part").applyInPandas(own, "vec_id long, v binary, cell int, part int, tau double, " + _FOUND), "first")
-    tiles = max(1, -(-n // QUERIES))
+        return pd.DataFrame({"vec_id": ids, "v": q_pdf["v"].to_numpy(), "cell": q_pdf["cell"].to_numpy(), "part": q_pdf["part"].to_numpy(), "tau": tau, "found": found})
+
+    def ask(asked: DataFrame, name: str) -> DataFrame:
+        """Answers of the parts to the queries that ask them; each part goes to as many tasks as its queries need."""
+        asked = scratch.write(asked, f"asked_{name}")
+        tiles = asked.groupBy("cell", "part").agg(F.ceil(F.count("*") / F.lit(queries)).cast("int").alias("tiles"))
+        mine = asked.join(tiles, ["cell", "part"]).withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(1)), "tiles").cast("int")).drop("tiles")
+        spread = placed.join(tiles, ["cell", "part"]).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).drop("tiles")
+        key = ["cell", "part", "tile"]
+        return scratch.write(spread.groupBy(*key).cogroup(mine.groupBy(*key)).applyInPandas(search, "vec_id long, v binary, cell int, part int, tau double, " + _FOUND), name)
+
+    first = ask(asking, "own")
     number, count, radius = (np.array(x) for x in zip(*sorted(cells)))
 
     def route(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         centres = held.value.centres[number]
         for b in it:
             x = _matrix(b.column(1).to_pylist(), d).astype(np.float64)
-            away = np.sqrt(np.maximum(((x[:, None, :] - centres) ** 2).sum(2), 0)) if len(number) < 256 else np.stack([np.linalg.norm(centres - r, axis=1) for r in x])
+            away = np.stack([np.linalg.norm(centres - r, axis=1) for r in x]) if len(x) else np.zeros((0, len(number)))
             tau = np.sqrt(b.column(4).to_numpy())
             ask, to = np.nonzero(away - radius <= tau[:, None] + 1e-6)
             size = count[to]
@@ -294,21 +314,16 @@ def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col:
             cols = [pa.array(number[to[keep]].astype(np.int32)), pa.array(part[keep].astype(np.int32)), b.column(0).take(at), b.column(1).take(at), b.column(4).take(at)]
             yield pa.RecordBatch.from_arrays(cols, names=["cell", "part", "vec_id", "v", "tau"])
 
-    asked = first.select("vec_id", "v", "cell", "part", "tau").mapInArrow(route, "cell int, part int, vec_id long, v binary, tau double").withColumn("tile", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(tiles)).cast("int"))
-    spread = placed.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))))
+    rest = ask(first.select("vec_id", "v", "cell", "part", "tau").mapInArrow(route, "cell int, part int, vec_id long, v binary, tau double"), "others")
+    best = first.select("vec_id", "found").unionByName(rest.select("vec_id", "found")).select("vec_id", F.explode("found").alias("x"))
+    order = Window.partitionBy("vec_id").orderBy("x.distance", "x.neighbour_id")
+    ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.select("vec_id", "rank", "x.neighbour_id", F.sqrt("x.distance").alias("distance"))
 
-    def others(base_pdf: pd.DataFrame, q_pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(base_pdf) or not len(q_pdf):
-            return pd.DataFrame({"vec_id": pd.Series(dtype="int64"), "found": pd.Series(dtype="object")})
-        q_ids = q_pdf["vec_id"].to_numpy()
-        keys, found = [], []
-        for i, dist, near in search_block(*_block(base_pdf, d, m), _matrix(q_pdf["v"], d), q_ids, q_pdf["tau"].to_numpy(), k, held.value.books):
-            if len(dist):
-                keys.append(q_ids[i])
-                found.append([{"distance": a, "neighbour_id": b} for a, b in zip(dist.tolist(), near.tolist())])
-        return pd.DataFrame({"vec_id": keys, "found": found})
-
-    key = ["cell", "part", "tile"]
-    rest = spread.groupBy(*key).cogroup(asked.groupBy(*key)).applyInPandas(others, "vec_id long, " + _FOUND)
-    best = first.select("vec_id", "found").unionByName(rest).groupBy("vec_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("found"))), 1, k).alias("found"))
-    return best.select("vec_id", F.posexplode("found").alias("rank", "x")).select("vec_id", (F.col("rank") + 1).alias("rank"), "x.neighbour_id", F.sqrt("x.distance").alias("distance"))
+
+def oracle_sql(k: int = 10, every: int = EVERY) -> str:
+    """neighbours() by comparing each query with every row; distances to 6 places."""
+    return f"""WITH v AS (SELECT vec_id, min(embedding) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 GROUP BY vec_id),
+    p AS (SELECT q.vec_id, v.vec_id AS neighbour_id, list_distance(q.e::DOUBLE[], v.e::DOUBLE[]) AS distance FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % {every} = 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY distance, neighbour_id) AS rank FROM p)
+    SELECT vec_id, rank::INT AS rank, neighbour_id, round(distance, 6) AS distance FROM r WHERE rank <= {k}"""

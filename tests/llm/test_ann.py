@@ -53,6 +53,36 @@ def test_rows_that_do_not_count(spark):
     assert ann.neighbours(df.filter("vec_id = 1")).count() == 0
 
 
+def test_query_set_over_several_tiles(spark):
+    """Every third row asks all; a part is copied only for more queries than a task holds."""
+    g = np.random.default_rng(8)
+    x = g.normal(size=(900, 16)).astype(np.float32)
+    want, _ = brute(x, 10)
+    got = found(ann.neighbours(frame(spark, x), 10, block=200, every=3, queries=7))
+    assert sorted(got) == list(range(0, 900, 3)) and all([n for n, _ in got[i]] == list(want[i]) for i in got)
+
+
+def test_parts_are_not_copied_as_rows_grow():
+    """On clustered vectors a part is asked by the queries of a few cells, a share of its own rows, so it goes to one task at every size."""
+    for n in (10**5, 10**6, 10**7, 10**8, 10**9):
+        part = min(n, ann.BLOCK)
+        assert ann.plan_tiles(40 * part // ann.EVERY) == 1
+    assert ann.plan_tiles(0) == 1 and ann.plan_tiles(10**6) == 16
+
+
+def test_against_sql(spark):
+    import duckdb
+
+    from morsel.llm import queries
+
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{sf}/embeddings.parquet'")
+    want = sorted(con.sql(f"SELECT vec_id, rank, neighbour_id, distance FROM ({queries.ORACLES['op2_additive_ann']})").fetchall())
+    got = sorted(map(tuple, queries.op2_additive_ann(spark, sf).select("vec_id", "rank", "neighbour_id", "distance").collect()))
+    assert got == want and len(got) == 50
+
+
 def test_beam_search_is_no_worse_than_greedy():
     g = np.random.default_rng(0)
     x = g.normal(size=(600, 16)).astype(np.float32)
