@@ -4,7 +4,8 @@ import pytest
 
 from morsel.llm.common import U64, Scratch, hash_spans, words, text_buffer
 from morsel.llm.components import connected_components
-from morsel.llm.simhash import BITS, MOST, RADIUS, fingerprints, near_duplicate_groups, near_pairs, plan_segments, plan_tasks
+from morsel.llm.common import mix64
+from morsel.llm.simhash import BITS, MOST, RADIUS, copies, fingerprints, near_duplicate_groups, near_links, near_pairs, plan_high, plan_segments
 
 DOC = "doc_id long, text string"
 
@@ -53,16 +54,58 @@ def test_pairs_against_brute_force(spark, radius):
     d = np.bitwise_count(u[:, None] ^ u[None]).sum(-1)
     want = groups_of([(i, j) for i, j in np.argwhere(d <= radius).tolist() if i < j])
     df = spark.createDataFrame([(i, int(a), int(b)) for i, (a, b) in enumerate(fp)], "node long, hi long, lo long")
+    # every link is counted once, whatever the tasks; a few documents a node
+    docs = np.arange(len(fp)) % 3 + 1
+    links = ((d <= radius) * docs).sum(1) - docs
+    weighed = spark.createDataFrame([(i, int(a), int(b), int(n)) for i, ((a, b), n) in enumerate(zip(fp, docs))], "node long, hi long, lo long, docs long")
+    at = {(int(a), int(b)): i for i, (a, b) in enumerate(fp)}
     for most in (MOST, 40, 2):
         got = [(r.a, r.b) for r in near_pairs(df, len(fp), radius, most).collect()]
-        assert all(d[a, b] <= radius for a, b in got) and groups_of(got) == want
-
-
-def test_tasks_follow_the_nodes():
-    assert plan_tasks(200_000, plan_segments(200_000, RADIUS)) == (6, 1) and plan_tasks(300, plan_segments(300, RADIUS), 2)[0] == 7
-    for n in (10**7, 10**9):
-        high, tiles = plan_tasks(n, plan_segments(n, RADIUS))
-        assert tiles > 1 and n / (1 << high) < 2 * MOST
+        # a forest joins nodes that are linked by way of others too
+        assert groups_of(got) == want
+        have = np.zeros(len(fp), dtype=int)
+        for r in near_links(weighed, len(fp), radius, most).filter("b is null").collect():
+            have[at[r.hi, r.lo]] += r.links
+        assert (have == links).all()
+
+
+def test_hot_tables_are_cut(spark):
+    """A third and more of all fingerprints share their high bits everywhere: their tables go in tiles, links stay whole."""
+    rng = np.random.default_rng(2)
+    hot = np.full((150, 2), 12345678901234, dtype=np.int64)
+    for row in hot:
+        for b in rng.choice(16, 5, replace=False):
+            row[b % 2] ^= np.int64(1 << int(b * 3))
+    fp = np.unique(np.concatenate([hot, rng.integers(0, 2**63, size=(100, 2), dtype=np.int64)]), axis=0)
+    u = fp.view(U64)
+    d = np.bitwise_count(u[:, None] ^ u[None]).sum(-1)
+    df = spark.createDataFrame([(i, int(a), int(b), 1) for i, (a, b) in enumerate(fp)], "node long, hi long, lo long, docs long")
+    rows = near_links(df, len(fp), RADIUS, 12).collect()
+    at = {(int(a), int(b)): i for i, (a, b) in enumerate(fp)}
+    have = np.zeros(len(fp), dtype=int)
+    for r in rows:
+        if r.b is None:
+            have[at[r.hi, r.lo]] += r.links
+    assert (have == (d <= RADIUS).sum(1) - 1).all()
+    assert groups_of([(r.a, r.b) for r in rows if r.b is not None]) == groups_of([(i, j) for i, j in np.argwhere(d <= RADIUS).tolist() if i < j])
+
+
+def test_rows_moved_follow_the_nodes():
+    for n in (10**5, 10**6, 10**7, 10**8, 10**9):
+        assert n / (1 << plan_high(n, plan_segments(n, RADIUS))) <= MOST
+    assert copies(10**5) < 20 and copies(236_000) < 20 and copies(10**7) < 30 and copies(10**9) < 400
+
+
+def test_fingerprint_votes():
+    """Each bit is the majority over distinct words of the bit of the word's hash; a tie is 0."""
+    text = "red green blue red one two two three"
+    raw, off = text_buffer(pa.array([text]))
+    s, e, _ = words(raw, off)
+    h = {text[a:b]: int(x) for a, b, x in zip(s, e, hash_spans(raw, s, e))}
+    feature = mix64(np.array([x >> 20 for x in h.values()], dtype=U64))
+    both = [feature, mix64(feature + U64(0x5851F42D4C957F2D))]
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(f) >> b & 1 for f in side) > len(h)) for side in both]
+    assert len(h) == 6 and fingerprints(pa.array([text]))[0][0].tolist() == want
 
 
 def test_components(spark):
@@ -81,6 +124,8 @@ def test_documents(spark):
     df = spark.createDataFrame([(a, b, 1) for a, b in rows], DOC + ", group_id int")
     got = {r.doc_id: (r.group_id, r.group_size) for r in near_duplicate_groups(df).collect()}
     assert got == {0: (0, 2), 100: (0, 2), 3: (3, 3), 101: (3, 3), 102: (3, 3), 107: (107, 2), 108: (107, 2), 109: (109, 2), 110: (109, 2)}
+    links = {r.doc_id: r.n_links for r in near_duplicate_groups(df).collect()}
+    assert links == {0: 1, 100: 1, 3: 2, 101: 2, 102: 2, 107: 1, 108: 1, 109: 1, 110: 1}
     assert near_duplicate_groups(df.limit(0)).count() == 0
 
 
