@@ -15,6 +15,8 @@ INVISIBLE = "[\u200B-\u200F\u202A-\u202E\uFEFF\u00AD]"
 UNIT = " {2,}|(?: ?[^ ]+)| "
 BYTE_WORD = "[^ \\t\\n\\x0B\\f\\r]+"
 FLAG = 1 << 22
+#: White space by its Unicode property.
+WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def strip_invisible(c: Column) -> Column:
@@ -45,7 +47,8 @@ def normalize(c: Column) -> Column:
 
 
 def is_blank(c: Column) -> Column:
-    return ~F.coalesce(c, F.lit("")).rlike("\\S")
+    """Null, empty or white space only."""
+    return ~F.coalesce(c, F.lit("")).rlike(f"[^{WHITE}]")
 
 
 def is_single(token: Column) -> Column:
@@ -63,7 +66,8 @@ def has_space(token_id: Column) -> Column:
 
 
 def plain_id(token_id: Column) -> Column:
-    return token_id.bitwiseAND(FLAG - 1)
+    """The id without its space flag; all other bits stay."""
+    return token_id.bitwiseAND(F.lit(~FLAG).cast("int"))
 
 
 def lead_length(byte: Column) -> Column:

@@ -1,16 +1,15 @@
 """Segmentation into the fewest tokens, and of those the most probable.
 
-The kernel is one narrow pass over Arrow batches: texts are cut into units, each distinct unit is segmented once a process
-and remembered, and ids are gathered as arrays. No rows are shuffled, so it also runs on streams. lattice_*() are the same
-in SQL operators only: edges by a join of spans with the vocabulary, then an ordered fold.
+The kernel is one narrow pass over Arrow batches: texts are cut into units, whose distinct ones Arrow finds; each is segmented once
+a process, many at a time (kernel.py), and remembered; ids are gathered as arrays. No rows are shuffled, so it also runs on streams.
+lattice_*() are the same in SQL operators only: edges by a join of spans with the vocabulary, then an ordered fold.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
-from itertools import chain
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,66 +18,134 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from morsel.functions.text import FLAG, UNIT, units
+from morsel.operators.kernel import SPACE, Paths, Trie, char_length, joined, ranges
 from morsel.operators.vocabulary import check_size, insertion_lookup
 
-#: Units remembered by a process, and the longest of them; neither changes a result.
+#: Units remembered by a process, and the longest of them in bytes; neither changes a result.
 CACHE, LONGEST = 1_000_000, 64
+#: Bytes that are segmented at a time. Stretches so long that fewer than FEW are side by side go one by one.
+BLOCK, FEW = 1 << 19, 8
+#: The rule of cut_units() as a pattern.
 _UNIT = re.compile(UNIT)
 
 
-class _Memory(dict):
-    """Ids of units, made when they are first asked for."""
-
-    def __init__(self, make: Callable[[str], tuple[int, ...]]):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, unit: str) -> tuple[int, ...]:
-        ids = self.make(unit)
-        if len(unit) <= LONGEST:
-            if len(self) >= CACHE:
-                self.clear()
-            self[unit] = ids
-        return ids
+def text_buffer(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of a string column and n + 1 offsets into them; a null is an empty text."""
+    if isinstance(col, pa.ChunkedArray):
+        col = col.combine_chunks()
+    if col.null_count:
+        col = col.fill_null("")
+    _, offs, data = col.buffers()
+    off = np.frombuffer(offs, dtype=np.int64 if pa.types.is_large_string(col.type) else np.int32)[col.offset : col.offset + len(col) + 1].astype(np.int64)
+    raw = np.frombuffer(data, dtype=np.uint8)[off[0] : off[-1]] if data is not None and off[-1] > off[0] else np.zeros(0, np.uint8)
+    return raw, off - off[0]
+
+
+def cut_units(raw: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where the units of texts begin, and the end: runs of two spaces and more apart, words with their one leading space."""
+    if not len(raw):
+        return np.zeros(1, np.int64)
+    first = np.zeros(len(raw), dtype=bool)
+    first[off[:-1][off[:-1] < off[1:]]] = True
+    space = raw == SPACE
+    begin = first.copy()
+    begin[1:] |= space[1:] & ~space[:-1]
+    # a word after a run of spaces, which is one unless the text begins with its second space
+    begin[2:] |= ~space[2:] & space[1:-1] & space[:-2] & ~first[1:-1]
+    return np.append(np.flatnonzero(begin), len(raw))
+
+
+class _Memory:
+    """Ids of units, held one after another."""
+
+    def __init__(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.start, self.size, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.int32)
+        self.n = self.used = 0
+
+    def add(self, ids: np.ndarray, start: np.ndarray, size: np.ndarray) -> int:
+        """The place of the first of so many units, given where each one's ids start."""
+        self.start, self.size, self.ids = (self._room(x, n) for x, n in ((self.start, self.n + len(size)), (self.size, self.n + len(size)), (self.ids, self.used + len(ids))))
+        n, used = self.n, self.used
+        self.size[n : n + len(size)] = size
+        self.start[n : n + len(size)] = used + start
+        self.ids[used : used + len(ids)] = ids
+        self.n, self.used = n + len(size), used + len(ids)
+        return n
+
+    @staticmethod
+    def _room(x: np.ndarray, n: int) -> np.ndarray:
+        if n <= len(x):
+            return x
+        out = np.zeros(max(n, 2 * len(x)), x.dtype)
+        out[: len(x)] = x
+        return out
 
 
 @dataclass
 class Segmenter:
-    """A vocabulary held by a worker. tokens: bytes to (id, log-probability); the latest of a repeated token counts."""
+    """A vocabulary held by a worker. tokens: bytes to (id, log-probability); the latest of a repeated token counts.
+
+    depth: longer tokens are kept apart from the trie, with the same result. byte_fallback: a stretch that no path spans gives the
+    tokens of its bytes, or an error where one has none, in place of unknown characters.
+    """
 
     tokens: dict[bytes, tuple[int, float]]
     unknown: int = 0
-    heads: set[bytes] = field(default_factory=set)
+    depth: int | None = None
+    byte_fallback: bool = False
 
     def __post_init__(self) -> None:
         check_size(max((i for i, _ in self.tokens.values()), default=0))
         self.tokens = {t: (i, np.float32(p)) for t, (i, p) in self.tokens.items()}
-        self.heads = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
         self.longest = max(map(len, self.tokens), default=0)
-        self.units = _Memory(lambda u: tuple(self.segment(u.encode())))
-        self.spaced = _Memory(lambda w: self.units[f" {w}"])
+        self.names = list(self.tokens)
+        self.trie = Trie(self.names, self.depth)
+        self.ids = np.array([i for i, _ in self.tokens.values()], dtype=np.int32)
+        self.logs = np.array([p for _, p in self.tokens.values()], dtype=np.float32)
+        self.space = self.names.index(b" ") if b" " in self.tokens else None
+        self.cuts = not any(b" " in t.lstrip(b" ") for t in self.names)
+        self._fresh()
+
+    def _fresh(self) -> None:
+        self.memory = _Memory()
+        self.heads: set[bytes] | None = None
 
     def __getstate__(self) -> dict:
-        return {"tokens": self.tokens, "unknown": self.unknown}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memory", "heads")}
 
     def __setstate__(self, s: dict) -> None:
-        self.__init__(s["tokens"], s["unknown"])
+        self.__dict__.update(s)
+        self._fresh()
+
+    def _paths(self, data: np.ndarray, off: np.ndarray) -> Paths:
+        return Paths(self.trie, self.ids, self.logs, data, off, self.space)
 
     def segment(self, data: bytes) -> list[int]:
         """Ids of one stretch of bytes. Where nothing reaches the end, the furthest path is taken, the next character is
         unknown, and what follows it is segmented afresh."""
         out: list[int] = []
+        whole = data
         while data:
             ids, done = self._reach(data)
+            if done < len(data) and self.byte_fallback:
+                return self._bytes(whole)
             out += ids
             if done == len(data):
                 break
-            b = data[done]
             out.append(self.unknown)
-            data = data[done + (1 if b < 0xC0 else 2 if b < 0xE0 else 3 if b < 0xF0 else 4) :]
+            data = data[done + char_length(data[done]) :]
         return out
 
+    def _bytes(self, data: bytes) -> list[int]:
+        if lacking := next((b for b in data if bytes([b]) not in self.tokens), None):
+            raise ValueError(f"the vocabulary has no token for byte {lacking:#04x}")
+        return [self.tokens[bytes([b])][0] for b in data]
+
     def _reach(self, data: bytes) -> tuple[list[int], int]:
+        """One stretch by itself: ids of the furthest path, and where it ends."""
+        if self.heads is None:
+            self.heads = {t[:k] for t in self.tokens for k in range(1, len(t) + 1)}
         n, heads, get = len(data), self.heads, self.tokens.get
         count, cost, back, made = [-1] * (n + 1), [np.float32(0)] * (n + 1), [0] * (n + 1), [0] * (n + 1)
         count[0] = 0
@@ -89,10 +156,13 @@ class Segmenter:
                 count[end], cost[end], back[end], made[end] = c, new, i, token
 
         space = get(b" ")
+        far = 0
         for i in range(n):
             if count[i] < 0:
+                if i > far:
+                    break
                 continue
-            spaced = data[i] == 32 and i + 1 < n
+            spaced = data[i] == SPACE and i + 1 < n
             start, flag = (i + 1, FLAG) if spaced else (i, 0)
             for end in range(start + 1, min(n, start + self.longest) + 1):
                 piece = data[start:end]
@@ -100,8 +170,10 @@ class Segmenter:
                     break
                 if (hit := get(piece)) is not None:
                     offer(i, end, hit[0] | flag, hit[1])
+                    far = max(far, end)
             if spaced and space is not None:
                 offer(i, i + 1, *space)
+                far = max(far, i + 1)
         done = n
         while count[done] < 0:
             done -= 1
@@ -111,17 +183,133 @@ class Segmenter:
             at = back[at]
         return ids[::-1], done
 
+    def segment_all(self, parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of many stretches, where those of each start, and how many it has."""
+        length = np.array([len(p) for p in parts], dtype=np.int64)
+        order = np.argsort(length, kind="stable")
+        start, size, pool, used = np.zeros(len(parts), np.int64), np.zeros(len(parts), np.int64), [], 0
+
+        def put(some: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+            nonlocal used
+            start[some], size[some] = used + np.cumsum(n) - n, n
+            pool.append(ids)
+            used += len(ids)
+
+        total = np.cumsum(length[order])
+        i = 0
+        while i < len(order):
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK, side="right")))
+            some = order[i:j]
+            i = j
+            if len(some) < FEW and length[some[-1]] > 4096:
+                for k in some.tolist():
+                    ids = np.array(self.segment(parts[k]), dtype=np.int32)
+                    put(np.array([k]), ids, np.array([len(ids)]))
+                continue
+            p = self._paths(*joined([parts[k] for k in some])).solve()
+            put(some, *p.ids()[:2])
+            stuck = some[p.count[p.last] < 0]
+            if len(stuck) and self.byte_fallback:
+                for k in stuck.tolist():
+                    ids = np.array(self._bytes(parts[k]), dtype=np.int32)
+                    put(np.array([k]), ids, np.array([len(ids)]))
+            elif len(stuck):
+                put(stuck, *self._paths(*joined([parts[k] for k in stuck])).solve(unknown=self.unknown).ids()[:2])
+        return np.concatenate(pool or [np.zeros(0, np.int32)]), start, size
+
+    def _whole(self, raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """encode_texts() of texts as one stretch each.
+
+        Where no token holds a space after something else, every path passes the places where a space follows something else, so
+        texts are cut there and all cuts grow together. What a cut has cost before decides ties by rounding: costs are those of the
+        paths found, and paths are found again until they stay the same. Then, cut by cut, all are those of one long walk.
+        """
+        data = raw.tobytes()
+        n = len(off) - 1
+        size, made = np.zeros(n, np.int64), [np.zeros(0, np.int32)] * n
+        todo = np.flatnonzero(off[1:] > off[:-1])
+        if self.cuts:
+            begin = np.zeros(len(raw), dtype=bool)
+            begin[off[todo]] = True
+            space = raw == SPACE
+            begin[1:] |= space[1:] & ~space[:-1]
+            at = np.append(np.flatnonzero(begin), len(raw))
+            left = []
+            i = 0
+            while i < len(todo):
+                j = max(i + 1, int(np.searchsorted(off[todo], off[todo[i]] + BLOCK)))
+                some = todo[i:j]
+                i = j
+                a, b = np.searchsorted(at, (off[some[0]], off[some[-1] + 1]))
+                cut = at[a : b + 1] - at[a]
+                if np.diff(cut).max() > 4096:
+                    left.append(some)
+                    continue
+                p = self._paths(raw[at[a] : at[b]], cut).solve()
+                # a cut without a path: such texts go by themselves
+                text = np.searchsorted(off[some], at[a:b], side="right") - 1
+                bad = np.unique(text[p.count[p.last] < 0])
+                first = np.searchsorted(text, np.arange(len(some) + 1))
+                ids, count, logs = p.ids()
+                while True:
+                    ends = np.concatenate([[0], np.cumsum(count)])
+                    cost = np.zeros(len(count), np.float32)
+                    for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
+                        run = np.cumsum(-logs[ends[x] : ends[y]], dtype=np.float32)
+                        if y > x + 1:
+                            cost[x + 1 : y] = run[np.maximum(ends[x + 1 : y] - ends[x] - 1, 0)] if len(run) else 0
+                    again, count, logs = p.solve(cost).ids()
+                    if np.array_equal(again, ids):
+                        break
+                    ids = again
+                ends = np.concatenate([[0], np.cumsum(count)])
+                for k, x in enumerate(np.split(ids, ends[first[1:-1]])):
+                    made[some[k]] = x
+                left.append(some[bad])
+            todo = np.concatenate(left) if left else todo[:0]
+        if len(todo):
+            pool, start, count = self.segment_all([data[a:b] for a, b in zip(off[todo].tolist(), off[todo + 1].tolist())])
+            for k, x, y in zip(todo.tolist(), start.tolist(), count.tolist()):
+                made[k] = pool[x : x + y]
+        size[:] = [len(m) for m in made]
+        return np.concatenate(made or [np.zeros(0, np.int32)]), np.concatenate([[0], np.cumsum(size)])
+
+    def encode_texts(self, raw: np.ndarray, off: np.ndarray, whole: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts, one after another, and n + 1 offsets; whole: each as one stretch, without cutting it into units."""
+        if whole:
+            return self._whole(raw, off)
+        at = cut_units(raw, off)
+        if len(at) == 1:
+            return np.zeros(0, np.int32), np.zeros(len(off), np.int64)
+        column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(raw))]).dictionary_encode()
+        _, ends, data = column.dictionary.buffers()
+        ends, data = np.frombuffer(ends, np.int64)[: len(column.dictionary) + 1].tolist(), data.to_pybytes()
+        place = self._places([data[a:b] for a, b in zip(ends, ends[1:])])[column.indices.to_numpy()]
+        m = self.memory
+        size = m.size[place]
+        ids = m.ids[ranges(m.start[place], size)]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        return ids, ends[np.searchsorted(at, off)]
+
+    def _places(self, distinct: list[bytes]) -> np.ndarray:
+        """Where the memory holds units; those it lacks are segmented first."""
+        m = self.memory
+        if len(m.place) > CACHE or m.used > 32 * CACHE:
+            m = self.memory = _Memory()
+        get = m.place.get
+        place = np.array([get(u, -1) for u in distinct], dtype=np.int64)
+        new = np.flatnonzero(place < 0).tolist()
+        if new:
+            parts = [distinct[k] for k in new]
+            n = m.add(*self.segment_all(parts))
+            place[new] = n + np.arange(len(new))
+            m.place.update((u, n + k) for k, u in enumerate(parts) if len(u) <= LONGEST)
+        return place
+
     def encode(self, text: str, whole: bool = False) -> np.ndarray:
         """Ids of a text; whole: as one stretch, without cutting it into units."""
-        if whole:
-            return np.array(self.segment(text.encode()), dtype=np.int32)
-        if "  " in text:
-            parts = map(self.units.__getitem__, _UNIT.findall(text))
-        else:
-            # single spaces only: each begins a unit, the last one may stand alone
-            head, *rest = text.split(" ")
-            parts = chain((self.units[head],), map(self.spaced.__getitem__, rest))
-        return np.array(list(chain.from_iterable(parts)), dtype=np.int32)
+        data = text.encode()
+        return self.encode_texts(np.frombuffer(data, np.uint8), np.array([0, len(data)]), whole)[0]
 
 
 def collect_segmenter(vocab: DataFrame) -> Segmenter:
@@ -139,18 +327,38 @@ def encode(df: DataFrame, segmenter: Segmenter | Broadcast, text_col: str = "tex
 
     @F.arrow_udf("array<int>")
     def ids(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        s = held.value
         for batch in texts:
-            made = [None if t is None else s.encode(t, mode == "whole") for t in batch.to_pylist()]
-            size = np.array([0 if m is None else len(m) for m in made], dtype=np.int64)
-            flat = np.concatenate([m for m in made if m is not None and len(m)] or [np.zeros(0, np.int32)])
-            off = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            null = np.array([m is None for m in made], dtype=bool)
-            yield pa.ListArray.from_arrays(pa.array(off), pa.array(flat), mask=pa.array(null)) if null.any() else pa.ListArray.from_arrays(pa.array(off), pa.array(flat))
+            yield id_lists(held.value, batch, mode == "whole")
 
     return df.withColumn(into, ids(df[text_col]))
 
 
+def id_lists(s: Segmenter, texts: pa.Array, whole: bool = False) -> pa.ListArray:
+    """A list of ids for each text; null for null."""
+    flat, off = s.encode_texts(*text_buffer(texts), whole)
+    mask = texts.is_null() if texts.null_count else None
+    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat), mask=mask)
+
+
+def count_ids(df: DataFrame, segmenter: Segmenter | Broadcast, text_col: str = "text") -> DataFrame:
+    """(x, n): how often each id comes in the units of all texts. Each task counts what it encodes, so only sums are shuffled."""
+    held = segmenter if isinstance(segmenter, Broadcast) else df.sparkSession.sparkContext.broadcast(segmenter)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((2, 0), dtype=np.int64)
+        for b in it:
+            ids = held.value.encode_texts(*text_buffer(b.column(0)))[0].astype(np.int64)
+            spaced = (ids & FLAG) != 0
+            for k, x in enumerate((ids[~spaced], ids[spaced] & ~FLAG)):
+                if len(x) and x.max() >= total.shape[1]:
+                    total = np.pad(total, ((0, 0), (0, int(x.max()) + 1 - total.shape[1])))
+                total[k] += np.bincount(x, minlength=total.shape[1])
+        k, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array((at | (k * FLAG)).astype(np.int32)), pa.array(total[k, at])], names=["x", "n"])
+
+    return df.select(df[text_col].cast("string")).mapInArrow(run, "x int, n long").groupBy("x").agg(F.sum("n").alias("n"))
+
+
 def lattice_edges(unit_table: DataFrame, vocab: DataFrame) -> DataFrame:
     """(unit, start, end, token_id, log_prob): every token that fits at every place of the units, counted in characters.
 
@@ -164,7 +372,7 @@ def lattice_edges(unit_table: DataFrame, vocab: DataFrame) -> DataFrame:
     ends = at.select("unit", "start", "spaced", "from", F.explode(F.sequence(F.col("from") + 1, F.least(F.char_length("unit"), F.col("from") + F.col("longest")))).alias("end"))
     fit = ends.withColumn("piece", F.substring(F.col("unit"), F.col("from") + 1, F.col("end") - F.col("from"))).join(v, "piece")
     marked = fit.select("unit", "start", "end", F.when(F.col("spaced"), F.col("token_id").bitwiseOR(FLAG)).otherwise(F.col("token_id")).alias("token_id"), "log_prob")
-    alone = at.filter("spaced").join(F.broadcast(v.filter("piece = ' '")).hint("broadcast")).select("unit", "start", (F.col("start") + 1).alias("end"), "token_id", "log_prob")
+    alone = at.filter("spaced").join(F.broadcast(v.filter("piece = ' '"))).select("unit", "start", (F.col("start") + 1).alias("end"), "token_id", "log_prob")
     return marked.unionByName(alone)
 
 

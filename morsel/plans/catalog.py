@@ -215,14 +215,15 @@ def encode_conversations(spark, sf_dir):
 
 @query(f"{_encoded()} SELECT id & {T.FLAG - 1} AS token_id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM whole) GROUP BY ALL")
 def token_usage(spark, sf_dir):
-    return encoded(spark, sf_dir).select(F.explode("ids").alias("x")).groupBy(T.plain_id(F.col("x")).alias("token_id")).agg(F.count("*").alias("n"))
+    x = segment.count_ids(_table(spark, sf_dir), segment.collect_segmenter(vocab_of(spark, sf_dir)))
+    return x.groupBy(T.plain_id(F.col("x")).alias("token_id")).agg(F.sum("n").alias("n"))
 
 
 @query(f"{_encoded()} SELECT count(*) AS n_ids, count(*) FILTER (id & {T.FLAG} <> 0) AS spaced, round(count(*) FILTER (id & {T.FLAG} <> 0) / count(*), 6) AS share FROM (SELECT unnest(ids) AS id FROM whole)")
 def leading_space_share(spark, sf_dir):
-    x = encoded(spark, sf_dir).select(F.explode("ids").alias("x"))
-    n = F.count_if(T.has_space(F.col("x")))
-    return x.agg(F.count("*").alias("n_ids"), n.alias("spaced"), F.round(n / F.count("*"), 6).alias("share"))
+    x = segment.count_ids(_table(spark, sf_dir), segment.collect_segmenter(vocab_of(spark, sf_dir)))
+    spaced = F.sum(F.when(T.has_space(F.col("x")), F.col("n")).otherwise(0))
+    return x.agg(F.sum("n").alias("n_ids"), spaced.alias("spaced"), F.round(spaced / F.sum("n"), 6).alias("share"))
 
 
 @query("SELECT doc_id, text AS decoded FROM documents")
@@ -290,7 +291,7 @@ WEIGHTS = [("de", 1.0), ("en", 2.0), ("es", 1.0), ("fr", 4.0)]
 
 @query("""WITH w(lang, w, place) AS (VALUES ('de', 1.0::DOUBLE, 0), ('en', 2.0, -1), ('es', 1.0, -2), ('fr', 4.0, -3)),
     r AS (SELECT doc_id, lang, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS k FROM documents)
-    SELECT (row_number() OVER (ORDER BY (k + 0.5) / w, place, doc_id) - 1)::BIGINT AS ord, doc_id, lang FROM r JOIN w USING (lang) WHERE regexp_matches(text, '[^ \\t\\n\\v\\f\\r]')""")
+    SELECT (row_number() OVER (ORDER BY (k + 0.5) / w, place, doc_id) - 1)::BIGINT AS ord, doc_id, lang FROM r JOIN w USING (lang) WHERE regexp_matches(text, '[^""" + T.WHITE + """]')""")
 def interleave_weighted(spark, sf_dir):
     return interleave.interleave(_table(spark, sf_dir), WEIGHTS, "lang").select("ord", "doc_id", "lang")
 

@@ -11,12 +11,15 @@ from morsel.sources.vocab_files import parse, read_vocab
 
 
 class Tokenizer:
-    def __init__(self, rows: list[tuple[int, bytes, float]]):
-        self.tokens = [b""] * (max((i for i, _, _ in rows), default=-1) + 1)
+    """depth and byte_fallback are those of Segmenter."""
+
+    def __init__(self, rows: list[tuple[int, bytes, float]], depth: int | None = None, byte_fallback: bool = False):
+        self.tokens: list[bytes | None] = [None] * (max((i for i, _, _ in rows), default=-1) + 1)
         for i, t, _ in rows:
             self.tokens[i] = t
         by = {t: (i, p) for i, t, p in sorted(rows)}
-        self.segmenter = segment.Segmenter(by, by.get(b"<unk>", (0, 0.0))[0])
+        self.segmenter = segment.Segmenter(by, by.get(b"<unk>", (0, 0.0))[0], depth, byte_fallback)
+        self.decoder = d.Decoder(self.tokens)
 
     @classmethod
     def from_file(cls, path: str) -> Tokenizer:
@@ -54,7 +57,7 @@ class Tokenizer:
         return [self.segmenter.encode(t, True).astype(np.uint32) for t in texts]
 
     def decode(self, ids: list[int] | np.ndarray) -> str:
-        return d.decode_ids(ids, self.tokens)
+        return d.decode_ids(ids, self.decoder)
 
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
         return [self.decode(x) for x in ids]

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 
 from morsel.functions.text import FLAG
 from morsel.operators import decode, segment
+from morsel.operators.kernel import joined
 from morsel.sources import vocab_files
 from morsel.tokenizer import Tokenizer
 
@@ -150,3 +151,71 @@ def test_files(spark, tmp_path):
 def test_ties_take_the_smallest_start():
     t = tok(("a", -1.0), ("aa", -1.0))
     assert t.encode("aaa") == [0, 1]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab  h€", max_size=12), max_size=6))
+def test_units_of_buffers_are_those_of_the_pattern(texts):
+    data, off = joined([t.encode() for t in texts])
+    at = segment.cut_units(data, off)
+    raw = data.tobytes()
+    assert [raw[a:b].decode() for a, b in zip(at[:-1], at[1:])] == [u for t in texts for u in segment._UNIT.findall(t)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(alphabet="ab hé€", max_size=30), max_size=8), st.sampled_from([True, False]))
+def test_many_at_once_equal_one_at_a_time(texts, double):
+    words = [("a", -1.0), ("b", -1.1), (" ", -2.3), ("h", -1.7), ("ab", -1.25), ("ba", -1.3), ("hab", -0.7), ("bb", -2.2), ("é", -3.1), ("<unk>", 0.0), *([("  ", -1.0), ("a b", -2.0)] if double else [])]
+    t = tok(*words)
+    s = t.segmenter
+    ids, off = s.encode_texts(*joined([x.encode() for x in texts]), True)
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [s.segment(x.encode()) for x in texts]
+    ids, off = s.encode_texts(*joined([x.encode() for x in texts]))
+    assert [ids[a:b].tolist() for a, b in zip(off, off[1:])] == [[i for u in segment._UNIT.findall(x) for i in s.segment(u.encode())] for x in texts]
+
+
+def test_ties_of_long_texts_are_those_of_one_walk():
+    """Costs of a long text are so large that single precision rounds differences away: the whole text decides, not its words."""
+    rng = np.random.default_rng(0)
+    t = tok(*[(w, float(p)) for w, p in zip(["a", "b", "c", " ", "ab", "bc", "ca", "abc", "bca"], -rng.random(9) * 1000 - 1)])
+    texts = [" ".join("".join(rng.choice(list("abc"), rng.integers(1, 9))) for _ in range(2000)) for _ in range(3)]
+    assert t.encode_batch(texts) == [t.segmenter.segment(x.encode()) for x in texts]
+
+
+def test_depth_of_the_trie_changes_nothing():
+    for depth in (1, 2, 4):
+        a, b = Tokenizer(FULL), Tokenizer(FULL, depth)
+        for text in CASES:
+            assert a.encode(text) == b.encode(text) and a.encode_batch([text]) == b.encode_batch([text])
+
+
+def test_byte_fallback():
+    rows = [(i, bytes([i]), -8.0) for i in range(256) if i != 0x7A] + [(300, b"ab", -1.0)]
+    t = Tokenizer([(i, b, p) for i, b, p in rows if b != b"b"], byte_fallback=True)
+    with pytest.raises(ValueError, match="0x7a"):
+        t.encode("az")
+    assert Tokenizer(FULL, byte_fallback=True).encode("é") == [0xC3, 0xA9]
+    few = Tokenizer([(0, b"a", -1.0), (1, b"b", -1.0), (2, b"\xc3", -1.0), (3, b"\xa9", -1.0)], byte_fallback=True)
+    assert few.encode("aéb") == [0, 2, 3, 1]
+
+
+def test_only_the_space_flag_is_taken_out_of_ids(spark):
+    t = Tokenizer([(0, b"a", -1.0), (1, b"b", -1.0), (3, b"d", -1.0)])
+    assert t.decode([1 | FLAG, 0]) == " ba"
+    for bad in ([2**23 + 1], [2**24], [-(2**22) + 1], [-1], [2], [4]):
+        with pytest.raises(decode.DecodeError, match="unknown token id"):
+            t.decode(bad)
+    df = spark.createDataFrame([(k, x) for k, x in enumerate([[2**23 + 1, 2**24], [-(2**22) + 1], [2], [1 | FLAG, 0], [3], None])], "doc_id int, ids array<int>")
+    got = {r["doc_id"]: r["decoded"] for r in t.decode_table(df, strict=False).collect()}
+    assert got == {0: None, 1: None, 2: None, 3: " ba", 4: "d", 5: None}
+    vocab = spark.createDataFrame([(0, bytearray(b"a")), (1, bytearray(b"b")), (3, bytearray(b"d"))], "token_id int, token binary")
+    assert {r["doc_id"]: r["decoded"] for r in decode.decode_by_join(df.filter("ids is not null"), vocab).collect()} == {k: v for k, v in got.items() if k < 5}
+
+
+def test_counts_are_those_of_the_ids(spark):
+    from collections import Counter
+
+    t = Tokenizer(FULL)
+    df = spark.createDataFrame([(c,) for c in [*CASES, None]], "text string")
+    want = Counter(i for c in CASES for i in t.encode(c))
+    assert {r["x"]: r["n"] for r in segment.count_ids(df, t.segmenter).collect()} == dict(want)

@@ -53,3 +53,9 @@ def test_pre_tokenize():
     assert pieces("\t    x = 1\ny") == [("", False), ("", False), ("x", False), ("=", True), ("1", True), ("\n", False), ("y", False)]
     assert pieces("a\tb  c ") == [("a", False), ("\t", False), ("b", False), (" ", False), ("c", True), (" ", False)]
     assert T.nfc.func(pa.array(["a", None])).to_pylist() == ["a", None]
+
+
+def test_blank_by_unicode(spark):
+    rows = ["\u3000\u00a0 \t\u2028", "", None, "\u200b", "x", "\u3000x", "\x1c"]
+    got = [r[0] for r in spark.createDataFrame(list(enumerate(rows)), "i int, t string").orderBy("i").select(T.is_blank(F.col("t"))).collect()]
+    assert got == [t is None or not t.strip("\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000") for t in rows]

@@ -170,3 +170,11 @@ def test_ranks(spark):
         want.update({x: k for k, x in enumerate(sorted(x for x, h in rows if h == g))})
     assert {r["x"]: r["rank"] for r in rank_within(df, "g", [F.asc("x")], s).collect()} == want
     assert global_rank(df.limit(0), [F.asc("x")], s).count() == 0
+
+
+def test_tokens_longer_than_any_constant_are_used(spark):
+    word = "x" * 20 + "y" * 20
+    lp = {"x": -9.0, "y": -9.0, word: -1.0}
+    tokens = spark.createDataFrame(list(lp.items()), "token string, log_prob float")
+    got = {r["token"]: r["usage"] for r in usage(spark.createDataFrame([(word, 3), ("z" + word, 2), (word + "z", 1)], "unit string, n long"), tokens).collect()}
+    assert got == {word: 4}
