@@ -40,7 +40,7 @@ GAIN = 1e-4
 #: Bits of an id in a pair; above the vocabulary's bound.
 ID_BITS = 20
 #: Distinct keys a task holds before it passes them on.
-HELD = 4_000_000
+HELD = 2_000_000
 #: Rare words that workers hold with their classes and counts; the others are joined.
 HELD_WORDS = 1 << 20
 
@@ -89,7 +89,7 @@ def _counted(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
             yield make(k[i : i + (1 << 18)], c[i : i + (1 << 18)])
 
 
-def _blocks_of(it: Iterator[pa.RecordBatch], most: int = 1 << 22) -> Iterator[tuple[pa.Array, pa.RecordBatch]]:
+def _blocks_of(it: Iterator[pa.RecordBatch], most: int = 1 << 21) -> Iterator[tuple[pa.Array, pa.RecordBatch]]:
     for batch in it:
         text = batch.column(batch.num_columns - 1)
         for i, j in blocks(np.diff(text_buffer(text)[1]), most):
