@@ -90,6 +90,14 @@ def test_messages_with_loops_against_enumeration(model):
         assert got[i].argmax() == want.argmax() and np.abs(got[i] - want).max() < 0.1
 
 
+def test_bare_mentions_add_nothing(model):
+    """A hub of mentions without evidence is uniform, and a word in capitals is no entity for being repeated."""
+    for n in (2, 50):
+        edges = np.array([[i, n, pii.SKIP] for i in range(n)])
+        assert np.allclose(np.exp(pii.propagate(np.zeros((n + 1, pii.L)), edges, model.pair)[0]), 1 / pii.L)
+    assert found(model, "SOME!! MENTQUEAIQUEVICH!! WORD!! HEENTHRENDREMOGB!! " * 30) == [[]]
+
+
 def test_very_long_words_and_texts(model):
     key = "9f" * 20
     assert found(model, "x" * 500000 + f' token = "{key}" ' + "1,2," * 100000 + f" {key}")[0] == [(key, "SECRET")] * 2
