@@ -26,10 +26,11 @@ def main(args: list[str] | None = None) -> None:
     p.add_argument("--max-token-len", type=int, default=32)
     p.add_argument("--min-freq", type=int, default=2)
     p.add_argument("--max-docs", type=int, default=0)
-    p.add_argument("--seed", type=int, default=None, help="blend by seeded draws instead of credit")
+    p.add_argument("--blend", choices=("spread", "credit", "random"), default=None, help="credit and random are exact schedules made on the driver, a step a document")
+    p.add_argument("--seed", type=int, default=None, help="blend by seeded draws")
     a = p.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
-    docs = collect_documents(spark, load_config(a.config, a.base_dir), a.max_docs, "credit" if a.seed is None else "random").select("ord", normalize(F.col("text")).alias("text"))
+    docs = collect_documents(spark, load_config(a.config, a.base_dir), a.max_docs, a.blend or ("spread" if a.seed is None else "random")).select("ord", normalize(F.col("text")).alias("text"))
     vocab = train_vocab(docs, a.vocab_size, a.max_token_len, a.shrink_factor, a.min_freq, order_col="ord").persist()
     write_vocab(vocab, a.output)
     print(console(statistics(vocab)))

@@ -13,6 +13,7 @@ from morsel.operators.ranking import top
 from morsel.operators.train import losses, train_vocab, usage
 from morsel.scratch import Scratch
 from morsel.sources.corpus import filtered
+from morsel.sources.files import stamp
 
 #: The vocabulary of the queries: guaranteed and single characters, and the most frequent longer tokens.
 LONGER, MAX_BYTES, MIN_FREQ, SHRINK = 2000, 16, 2, 0.75
@@ -79,7 +80,7 @@ def _encoded(source: str = "documents", key: str = "doc_id") -> str:
     whole AS MATERIALIZED (SELECT k, flatten(list(ids ORDER BY pos)) AS ids FROM placed JOIN enc USING (unit) GROUP BY k)"""
 
 
-_VOCABS: dict[tuple[str, str], DataFrame] = {}
+_VOCABS: dict[tuple, DataFrame] = {}
 
 
 def counts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,8 +88,8 @@ def counts_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vocab_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The vocabulary of a folder of tables: a written table, made once a session."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The vocabulary of a folder of tables: a written table, made once a session while the table stays as it is."""
+    key = (spark.sparkContext.applicationId, sf_dir, *stamp(spark, f"{sf_dir}/documents.parquet"))
     if key not in _VOCABS:
         s = Scratch(spark, "vocab")
         pruned = s.write(counts_of(spark, sf_dir), "counts")

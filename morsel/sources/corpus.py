@@ -7,8 +7,12 @@ import warnings
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from morsel.functions.text import is_blank
+from morsel.sources import files
 
 READERS = ("text", "text_gz", "jsonl", "jsonl_gz")
 
@@ -56,9 +60,13 @@ def _parse_plain(text: str) -> dict:
 
 
 def load_config(path: str, base_dir: str | None = None) -> list[Source]:
-    """Sources of a configuration; weights are those of their language, 1 where there is none. Paths are relative to base_dir."""
+    """Sources of a configuration file."""
     with open(path, encoding="utf-8") as f:
-        c = _parse(f.read())
+        return sources_of(_parse(f.read()), base_dir)
+
+
+def sources_of(c: dict, base_dir: str | None = None) -> list[Source]:
+    """Sources of a configuration; weights are those of their language, 1 where there is none. Paths are relative to base_dir."""
     mix = c.get("mix_ratios") or {}
     out = []
     for s in c.get("sources") or []:
@@ -71,17 +79,24 @@ def config_table(spark: SparkSession, sources: list[Source]) -> DataFrame:
     return spark.createDataFrame([(s.path, s.language, s.weight, s.reader, s.text_field) for s in sources], "path string, language string, weight double, reader string, text_field string")
 
 
-def paragraphs(text: Column) -> Column:
-    """Runs of lines that are not blank, in order."""
-    t = F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n", "\n"), F.lit("\n"))
-    parts = F.transform(F.split(t, "\n[ \\t\\x0B\\f\\r]*(?=\n)"), lambda x: F.regexp_replace(x, "^\n+|\n+$", ""))
-    return F.filter(parts, lambda x: x.rlike("\\S"))
-
-
 def read_text(spark: SparkSession, path: str) -> DataFrame:
-    """(idx, text): the paragraphs of a text file or a folder of them, gzipped ones by their name."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(paragraphs(F.col("value"))).alias("pos", "text"))
-    return files.select("file", F.col("pos").cast("long").alias("idx"), "text")
+    """(file, idx, text): the paragraphs of a text file or a folder of them, gzipped ones by their name.
+
+    A paragraph is a run of lines that are not blank. Files are read by lines, in splits; each split counts its own runs, and what goes
+    before it comes from one row a split, so a file of any size is read by many tasks and only a paragraph has to fit in one.
+    """
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("at"), F.regexp_replace("value", "\r$", "").alias("line"))
+    w = Window.partitionBy("file", "split").orderBy("at")
+    lines = raw.withColumn("blank", is_blank(F.col("line"))).withColumn("begins", ~F.col("blank") & F.coalesce(F.lag("blank").over(w), F.lit(True)))
+    lines = lines.withColumn("run", F.sum(F.col("begins").cast("long")).over(w))
+    each = lines.groupBy("file", "split").agg(F.max("run").alias("runs"), F.min_by("blank", "at").alias("first"), F.max_by("blank", "at").alias("last"))
+    order = Window.partitionBy("file").orderBy("split")
+    # a run may go on from the split before
+    each = each.withColumn("on", (~F.col("first") & ~F.coalesce(F.lag("last").over(order), F.lit(True))).cast("long"))
+    each = each.withColumn("base", F.sum(F.col("runs") - F.col("on")).over(order) - F.col("runs"))
+    kept = lines.filter("not blank").join(each.select("file", "split", "base"), ["file", "split"])
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]), "\n")
+    return kept.groupBy("file", (F.col("base") + F.col("run") - 1).alias("idx")).agg(text.alias("text"))
 
 
 def read_jsonl(spark: SparkSession, path: str, field: str = "text", strings_only: bool = True) -> DataFrame:
@@ -89,9 +104,12 @@ def read_jsonl(spark: SparkSession, path: str, field: str = "text", strings_only
 
     idx keeps the order of lines. strings_only=False takes other values as text.
     """
-    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("idx"), F.trim("value").alias("line"))
-    v = F.try_variant_get(F.try_parse_json("line"), f"$['{field}']", "variant")
-    text = F.try_variant_get(F.try_parse_json("line"), f"$['{field}']", "string")
+    quote = next((q for q in "'\"" if q not in field), None)
+    if quote is None:
+        raise ValueError(f"a field name can't hold both kinds of quotes: {field}")
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("idx"), F.try_parse_json(F.trim("value")).alias("line"))
+    place = f"$[{quote}{field}{quote}]"
+    v, text = F.try_variant_get("line", place, "variant"), F.try_variant_get("line", place, "string")
     if strings_only:
         text = F.when(F.schema_of_variant(v) == "STRING", text)
     return lines.select("file", "idx", text.alias("text")).filter("text <> ''")
@@ -101,8 +119,7 @@ def read_source(spark: SparkSession, source: Source) -> DataFrame:
     """(file, idx, text, language); a missing file is a warning and no rows, an unknown reader an error."""
     if source.reader not in READERS:
         raise ValueError(f"unknown reader {source.reader!r}; it must be one of {', '.join(READERS)}")
-    p = spark._jvm.org.apache.hadoop.fs.Path(source.path)
-    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+    if not files.exists(spark, source.path):
         warnings.warn(f"no file at {source.path}", stacklevel=2)
         return spark.createDataFrame([], "file string, idx long, text string, language string")
     df = read_text(spark, source.path) if source.reader.startswith("text") else read_jsonl(spark, source.path, source.text_field)
@@ -119,16 +136,11 @@ def read_sources(spark: SparkSession, sources: list[Source]) -> DataFrame:
 
 def estimate_size(spark: SparkSession, sources: list[Source]) -> int:
     """Bytes of all source files; what can't be read counts 0."""
-    total = 0
-    for s in sources:
-        p = spark._jvm.org.apache.hadoop.fs.Path(s.path)
-        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-        total += fs.getContentSummary(p).getLength() if fs.exists(p) else 0
-    return total
+    return sum(files.total_size(spark, s.path) for s in sources)
 
 
-def collect_documents(spark: SparkSession, sources: list[Source], max_docs: int = 0, method: str = "credit") -> DataFrame:
-    """(ord, text, language): the blend of all sources by weight."""
+def collect_documents(spark: SparkSession, sources: list[Source], max_docs: int = 0, method: str = "spread") -> DataFrame:
+    """(ord, text, language): the blend of all sources by weight. method as in interleave(): "spread" has no step on the driver."""
     from morsel.operators.interleave import interleave
     from morsel.operators.ranking import global_rank
     from morsel.scratch import Scratch

@@ -6,6 +6,8 @@ import json
 
 from pyspark.sql import DataFrame
 
+from morsel.sources.files import write_bytes
+
 
 def _cell(x: object) -> str:
     return "" if x is None else f"{x:.3f}" if isinstance(x, float) else str(x)
@@ -24,5 +26,5 @@ def console(df: DataFrame) -> str:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump([r.asDict(recursive=True) for r in df.collect()], f, ensure_ascii=False, indent=1, default=str)
+    rows = [r.asDict(recursive=True) for r in df.collect()]
+    write_bytes(df.sparkSession, path, json.dumps(rows, ensure_ascii=False, indent=1, default=str).encode())

@@ -7,6 +7,8 @@ import struct
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from morsel.sources.files import write_bytes
+
 MAGIC = b"NXT1"
 
 
@@ -54,5 +56,4 @@ def write_vocab(vocab: DataFrame, path: str) -> None:
         vocab.select("token_id", "token", "log_prob").write.mode("overwrite").parquet(path)
         return
     rows = vocab.orderBy("token_id").select(F.col("token").cast("binary"), "log_prob").collect()
-    with open(path, "wb") as f:
-        f.write(pack([(bytes(t), p) for t, p in rows]))
+    write_bytes(vocab.sparkSession, path, pack([(bytes(t), p) for t, p in rows]))

@@ -119,3 +119,57 @@ def test_streams(spark, tmp_path):
     q = streams.token_rates(stream(), t.segmenter, "ts").writeStream.format("memory").queryName("rates").outputMode("complete").trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert [(r["n_texts"], r["tokens"]) for r in spark.sql("select * from rates order by window.start").collect()] == [(2, 3), (1, None)]
+
+
+def test_paragraphs_over_many_splits(tmp_path, spark):
+    """Splits of a few bytes: paragraphs that reach over several of them come back whole and in order."""
+    rng = __import__("random").Random(3)
+    lines = [rng.choice(["", " \t", "\u3000\u00a0", "word", "two words", "é" * 9, "x" * 40]) for _ in range(400)]
+    want, run = [], []
+    for x in [*lines, ""]:
+        if x.strip():
+            run.append(x)
+        elif run:
+            want.append("\n".join(run))
+            run = []
+    (tmp_path / "t.txt").write_bytes("\n".join(x + ("\r" if k % 3 else "") for k, x in enumerate(lines)).encode())
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for size in ("64", "700", "128m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            spark.conf.set("spark.sql.files.openCostInBytes", "0")
+            got = corpus.read_text(spark, str(tmp_path / "t.txt")).orderBy("idx").collect()
+            assert [r["text"] for r in got] == want and [r["idx"] for r in got] == list(range(len(want)))
+    finally:
+        for k, v in keep.items():
+            spark.conf.set(k, v)
+
+
+def test_field_names_and_package(tmp_path, spark):
+    (tmp_path / "q.jsonl").write_text(json.dumps({"it's": "a", 'say "b"': "c"}))
+    assert [r["text"] for r in corpus.read_jsonl(spark, str(tmp_path / "q.jsonl"), "it's").collect()] == ["a"]
+    assert [r["text"] for r in corpus.read_jsonl(spark, str(tmp_path / "q.jsonl"), 'say "b"').collect()] == ["c"]
+    with pytest.raises(ValueError):
+        corpus.read_jsonl(spark, "x", "both ' and \"")
+    import morsel
+
+    assert all(getattr(morsel, n) is not None for n in morsel.__all__) and morsel.Tokenizer is Tokenizer
+    with pytest.raises(AttributeError):
+        morsel.nothing
+
+
+def test_chunks_at_units_change_no_ids():
+    """Texts cut at unit borders, in chunks of some bytes, give the same ids as whole."""
+    t = tokenizer()
+    text = "ab  cd e   ab ab\n  x " * 50
+    from morsel.operators.segment import cut_units, joined
+
+    data, off = joined([text.encode()])
+    at = cut_units(data, off).tolist()
+    for least in (1, 7, 256):
+        cuts, parts = [0], []
+        for p in at[1:]:
+            if p - cuts[-1] >= least or p == at[-1]:
+                parts.append(data[cuts[-1] : p].tobytes().decode())
+                cuts.append(p)
+        assert "".join(parts) == text and [i for p in parts for i in t.encode(p)] == t.encode(text)
