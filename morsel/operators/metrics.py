@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,10 +27,14 @@ def parity(measured: DataFrame, base: str, group: str = "lang", good: float = 1.
     return x.withColumn("verdict", F.when(F.col("char_ratio") <= good, "good").when(F.col("char_ratio") <= fair, "fair").otherwise("poor"))
 
 
+def status_of(text: Column, decoded: Column) -> Column:
+    """lossless, unknown (the vocabulary lacks a character), error (no text came back) or broken."""
+    return F.when(decoded.eqNullSafe(text), "lossless").when(decoded.isNull(), "error").when(decoded.contains("<unk>"), "unknown").otherwise("broken")
+
+
 def round_trip(decoded: DataFrame, text_col: str = "text", decoded_col: str = "decoded") -> DataFrame:
-    """(status, n): lossless, unknown (the vocabulary lacks a character), error (no text came back) or broken."""
-    status = F.when(F.col(decoded_col).eqNullSafe(F.col(text_col)), "lossless").when(F.col(decoded_col).isNull(), "error").when(F.col(decoded_col).contains("<unk>"), "unknown").otherwise("broken")
-    return decoded.groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    """(status, n) by status_of()."""
+    return decoded.groupBy(status_of(F.col(text_col), F.col(decoded_col)).alias("status")).agg(F.count("*").alias("n"))
 
 
 def improvement(measured: DataFrame, key: str, of: str, over: str, value: str) -> DataFrame:

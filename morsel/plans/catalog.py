@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from morsel.functions import text as T
 from morsel.operators import decode, interleave, metrics, seeds, segment, vocabulary
 from morsel.operators.ranking import top
-from morsel.operators.train import losses, train_vocab, usage
+from morsel.operators.train import train_vocab
 from morsel.scratch import Scratch
 from morsel.sources.corpus import filtered
 from morsel.sources.files import stamp
@@ -297,11 +297,6 @@ def interleave_weighted(spark, sf_dir):
     return interleave.interleave(_table(spark, sf_dir), WEIGHTS, "lang").select("ord", "doc_id", "lang")
 
 
-@query()
-def interleave_credit(spark, sf_dir):
-    return interleave.interleave(_table(spark, sf_dir), WEIGHTS, "lang", method="credit").select("ord", "doc_id", "lang")
-
-
 @query()
 def interleave_random(spark, sf_dir):
     return interleave.interleave(_table(spark, sf_dir), WEIGHTS, "lang", method="random").select("ord", "doc_id", "lang")
@@ -314,27 +309,10 @@ def encode_whole(spark, sf_dir):
     return x.select("doc_id", _joined().alias("ids"))
 
 
-@query()
-def usage_losses(spark, sf_dir):
-    s = Scratch(spark, "losses")
-    docs = _table(spark, sf_dir)
-    pieces = s.write(docs.select(F.explode(T.seed_units(docs["text"])).alias("unit")).groupBy("unit").agg(F.count("*").alias("n")), "pieces")
-    v = vocab_of(spark, sf_dir).select(F.col("token").cast("string").alias("token"), "log_prob")
-    multi = v.filter(F.char_length("token") > 1).withColumn("cnt", F.lit(1).cast("long"))
-    return losses(multi, v, pieces).select("token", F.round(F.col("loss").cast("double"), 2).alias("loss"))
-
-
-@query()
-def segment_usage(spark, sf_dir):
-    docs = _table(spark, sf_dir)
-    pieces = docs.select(F.explode(T.seed_units(docs["text"])).alias("unit")).groupBy("unit").agg(F.count("*").alias("n"))
-    return usage(pieces, vocab_of(spark, sf_dir).select("token", "log_prob"))
-
-
 @query()
 def train(spark, sf_dir):
-    """The whole loop; tests hold it against a plain Python version."""
-    return train_vocab(_table(spark, sf_dir), 6000, 12, 0.5, 4).select("token_id", F.col("token").cast("string").alias("token"), F.round(F.col("log_prob").cast("double"), 3).alias("log_prob"))
+    """The whole loop at the size and with the settings of the command line; tests hold it against a plain Python version."""
+    return train_vocab(_table(spark, sf_dir)).select("token_id", F.col("token").cast("string").alias("token"), F.round(F.col("log_prob").cast("double"), 3).alias("log_prob"))
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
