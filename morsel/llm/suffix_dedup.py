@@ -10,13 +10,15 @@ never stand in one run, not even where a text repeats itself.
 2. Where all runs of an anchor are equal, all their windows are repeated.
 3. The others, the edges of copies, are read again, one copy of each distinct run. Runs of an anchor meet in one task,
    which builds the suffix array of its runs (morsel.llm.suffix_array) in parts of whole anchors; a window is repeated if
-   the suffix from it shares MIN_WORDS words with a neighbour in the array.
+   the suffix from it shares MIN_WORDS words with a neighbour in the array. An anchor of more than HOT distinct runs, such as a
+   phrase that a third of all documents put in ever new surroundings, would be too much for a task: its windows are counted
+   by their hashes instead, as many tasks as it takes, with the same result.
 4. Repeated windows become word spans a document, merged where they overlap or touch.
 
 All windows of all documents take part; nothing is sampled or capped, and shuffles carry runs (about one in eighteen words),
 never whole texts but for documents that hold an edge.
 
-Cases: null and shorter texts, and rows without a doc_id, have no windows; repeated rows, and rows that share a doc_id, are
+Cases: very long texts are read whole; null and shorter texts, and rows without a doc_id, have no windows; repeated rows, and rows that share a doc_id, are
 places of their own; a passage twice in one document is repeated; other columns are ignored; an empty table gives no rows.
 """
 
@@ -36,6 +38,8 @@ from morsel.llm.suffix_array import common_prefixes, suffix_array
 MIN_WORDS, GRAM = 50, 16
 #: Words of one suffix array; anchors are never split between two.
 PART = 150_000
+#: Distinct runs of an anchor that meet in one task; a run has at most some 85 words.
+HOT = 4096
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -161,7 +165,25 @@ def _array_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield flush(held)
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+def _window_batches(it: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """A row for each window of runs (anchor, content, places, words, least)."""
+    for batch in it:
+        off, h = np.array(batch.column(3).offsets, dtype=np.int64), batch.column(3).values.to_numpy().view(U64)
+        count = np.diff(off) - size + 1
+        run, begin = np.repeat(np.arange(len(count)), count), ranges(off[:-1], count)
+        at = pa.array(run)
+        cols = [*(batch.column(k).take(at) for k in (0, 1, 2, 4)), pa.array((begin - off[run]).astype(np.int32)), pa.array(run_hash(h, begin, begin + size).view(np.int64))]
+        yield pa.RecordBatch.from_arrays(cols, names=["anchor", "content", "places", "least", "a", "window"])
+
+
+def _by_windows(known: DataFrame, size: int) -> DataFrame:
+    """(anchor, content, a, b, first_doc_id): the repeated windows of runs, each by itself."""
+    windows = known.dropDuplicates(["anchor", "content"]).mapInArrow(lambda it: _window_batches(it, size), "anchor long, content long, places long, least long, a int, window long")
+    again = windows.groupBy("anchor", "window").agg(F.sum("places").alias("n"), F.min("least").alias("first_doc_id")).filter("n > 1").drop("n")
+    return windows.join(again, ["anchor", "window"]).select("anchor", "content", "a", F.col("a").alias("b"), "first_doc_id")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = GRAM, text_col: str = "text", id_col: str = "doc_id", hot: int = HOT) -> DataFrame:
     """(doc_id, start_word, end_word, first_doc_id): the repeated passages of every document.
 
     Words count from 0, the end is the word after the last; first_doc_id is the least document that holds a part of at least
@@ -180,8 +202,15 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, gram: int = G
     wanted = distinct.groupBy(F.col("at.doc_id").alias("doc_id")).agg(F.collect_list(F.struct("anchor", "content", F.col("at.pos").alias("pos"), "n")).alias("want"))
     fetched = slim.join(wanted, "doc_id").select("text", "doc_id", "want").mapInArrow(lambda it: _fetch_batches(it, min_words), "anchor long, content long, words array<long>")
     known = fetched.join(distinct.select("anchor", "content", "places", F.col("at.doc_id").alias("least")), ["anchor", "content"]).select("anchor", "content", "places", "words", "least")
+    many = scratch.write(distinct.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "hot")
+    by_window = None
+    if not many.isEmpty():
+        known = scratch.write(known, "known")
+        by_window = _by_windows(known.join(many, "anchor", "left_semi"), min_words)
+        known = known.join(many, "anchor", "left_anti")
     # rows that share a doc_id and a text fetch a run twice; a second copy changes nothing but must not count as a place
     found = known.repartition("anchor").sortWithinPartitions("anchor", "content").mapInArrow(lambda it: _array_batches(_first_of_each(it), min_words), "anchor long, content long, a int, b int, first_doc_id long")
+    found = found if by_window is None else found.unionByName(by_window)
     part = edges.join(scratch.write(found, "found"), ["anchor", "content"]).select("doc_id", (F.col("pos") + F.col("a")).alias("a"), (F.col("pos") + F.col("b")).alias("b"), "first_doc_id")
     spans = whole.unionByName(part).withColumn("b", F.col("b") + min_words)
     before = Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)

@@ -47,3 +47,18 @@ def test_stages_take_effect(spark, tables, tmp_path):
 
 def test_order_of_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "tokens"]
+
+
+def test_cases_of_every_stage(spark, tables):
+    """Empty tables, clashing columns, ids that are no numbers, no n_chars."""
+    d, good, _ = tables
+    plain = spark.createDataFrame([("1", good[0], 7, 0.5), ("x", good[1], 7, 0.5), (None, None, 7, 0.5), ("4", "", 7, 0.5), ("5", good[2] * 200, 7, 0.5)], "doc_id string, text string, group_id int, keep double")
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, plain.limit(0), d)
+        assert empty.count() == 0, name
+        out = stage(spark, plain, d)
+        if k + 1 < len(corpus_pipeline.STAGES):
+            assert out.columns == plain.columns and empty.columns == plain.columns, name
+        assert {r["doc_id"] for r in out.collect()} <= {"1", "x", None, "4", "5", 1, 4, 5}, name
+        if name in ("near_duplicates", "decontamination", "personal_data"):
+            assert out.count() == 5, name

@@ -59,6 +59,19 @@ def test_against_brute_force(spark, seed, size, gram):
     assert got == brute(rows, size)
 
 
+def test_hot_anchors_are_counted_by_windows(spark):
+    """A phrase shorter than a window in ever new surroundings: the same result, whatever a task may hold."""
+    rng = random.Random(9)
+    phrase = " ".join(f"p{i}" for i in range(7))
+    text = lambda k: " ".join(f"v{rng.randrange(30000)}" for _ in range(k))
+    rows = corpus(5) + [(200 + i, f"{text(15)} {phrase} {text(15)}") for i in range(60)]
+    rows += [(300, rows[70][1]), (301, rows[71][1] + " tail"), (301, rows[71][1] + " tail")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute(rows, 10)
+    for hot in (0, 5, S.HOT):
+        assert sorted(map(tuple, S.repeated_passages(df, 10, 4, hot=hot).collect())) == want
+
+
 def test_runs_hold_every_window_once():
     text = [t for _, t in corpus(4)] + ["", "short"]
     h, first = S.word_hashes(pa.array(text))
