@@ -2,6 +2,11 @@
 
 quality: documents that the classifier rejects go. near_duplicates: one document of each group stays. decontamination: documents
 in which a benchmark item is found go. personal_data: entities are replaced by their kind. tokens: ids of the texts that remain.
+
+Cases, for every stage: all columns of documents pass through, whatever their names; rows with a null doc_id, or one that is no
+number, are documents of their own; null and empty texts are no near-duplicates, hold no benchmark item and no entities, and
+give null and no ids; repeated rows are near-duplicates of each other, of which those with the smallest doc_id stay; very long
+texts are worked on whole; an empty table gives no rows. n_chars need not be there.
 """
 
 from __future__ import annotations
@@ -17,23 +22,28 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the classifier keeps. It is trained on at most quality.MAX_TRAIN of the labelled ones; an empty text is judged
+    by the bias alone; without labels all stay."""
     return quality.drop_low_quality(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that of the smallest doc_id, and all that are in no group."""
     return simhash.drop_near_duplicates(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents in which no benchmark item is found; null and empty items are found nowhere."""
     return decontam.drop_contaminated(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with <KIND> for each entity of the text; n_chars counts the new text."""
     return pii.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, n_tokens, ids, lossless)."""
+    """(doc_id, n_tokens, ids, lossless) of every document; a null text has null figures, an empty one no ids."""
     return bpe.encode_documents(docs)
 
 
@@ -50,6 +60,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The result of the last stage for the documents of a folder of tables."""
     scratch = Scratch(spark, "pipeline")
     docs = _table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
