@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +81,6 @@ class _Memory:
         return out
 
 
-@dataclass
 class Segmenter:
     """A vocabulary held by a worker. tokens: bytes to (id, log-probability); the latest of a repeated token counts.
 
@@ -90,29 +88,31 @@ class Segmenter:
     tokens of its bytes, or an error where one has none, in place of unknown characters.
     """
 
-    tokens: dict[bytes, tuple[int, float]]
-    unknown: int = 0
-    depth: int | None = None
-    byte_fallback: bool = False
-
-    def __post_init__(self) -> None:
-        check_size(max((i for i, _ in self.tokens.values()), default=0))
-        self.tokens = {t: (i, np.float32(p)) for t, (i, p) in self.tokens.items()}
-        self.longest = max(map(len, self.tokens), default=0)
-        self.names = list(self.tokens)
-        self.trie = Trie(self.names, self.depth)
-        self.ids = np.array([i for i, _ in self.tokens.values()], dtype=np.int32)
-        self.logs = np.array([p for _, p in self.tokens.values()], dtype=np.float32)
-        self.space = self.names.index(b" ") if b" " in self.tokens else None
+    def __init__(self, tokens: dict[bytes, tuple[int, float]], unknown: int = 0, depth: int | None = None, byte_fallback: bool = False):
+        check_size(max((i for i, _ in tokens.values()), default=0))
+        self.unknown, self.byte_fallback = unknown, byte_fallback
+        self.names = list(tokens)
+        self.ids = np.array([i for i, _ in tokens.values()], dtype=np.int32)
+        self.logs = np.array([p for _, p in tokens.values()], dtype=np.float32)
+        self.trie = Trie(self.names, depth)
+        self.longest = max(map(len, self.names), default=0)
+        self.space = self.names.index(b" ") if b" " in tokens else None
         self.cuts = not any(b" " in t.lstrip(b" ") for t in self.names)
         self._fresh()
 
     def _fresh(self) -> None:
         self.memory = _Memory()
         self.heads: set[bytes] | None = None
+        self._tokens: dict[bytes, tuple[int, np.float32]] | None = None
+
+    @property
+    def tokens(self) -> dict[bytes, tuple[int, np.float32]]:
+        if self._tokens is None:
+            self._tokens = dict(zip(self.names, zip(self.ids.tolist(), self.logs)))
+        return self._tokens
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k not in ("memory", "heads")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("memory", "heads", "_tokens")}
 
     def __setstate__(self, s: dict) -> None:
         self.__dict__.update(s)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +16,8 @@ from morsel.scratch import Scratch
 from morsel.sources.corpus import filtered
 from morsel.sources.files import stamp
 
-#: The vocabulary of the queries: guaranteed and single characters, and the most frequent longer tokens.
-LONGER, MAX_BYTES, MIN_FREQ, SHRINK = 2000, 16, 2, 0.75
+#: The vocabulary of the queries, of the command line's size and longest token: guaranteed and single characters, and the most frequent longer ones.
+LONGER, MAX_BYTES, MIN_FREQ, SHRINK = 262_144 - 2_836, 32, 2, 0.75
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,8 +101,27 @@ def vocab_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _VOCABS[key]
 
 
+_HELD: dict[int, tuple[DataFrame, Broadcast, list[bytes | None]]] = {}
+
+
+def _held(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Broadcast, list[bytes | None]]:
+    v = vocab_of(spark, sf_dir)
+    if id(v) not in _HELD:
+        _HELD[id(v)] = v, spark.sparkContext.broadcast(segment.collect_segmenter(v)), decode.token_list(v)
+    return _HELD[id(v)]
+
+
+def segmenter_of(spark: SparkSession, sf_dir: str) -> Broadcast:
+    """The vocabulary of a folder of tables as workers hold it, sent to them once a session."""
+    return _held(spark, sf_dir)[1]
+
+
+def tokens_of(spark: SparkSession, sf_dir: str) -> list[bytes | None]:
+    return _held(spark, sf_dir)[2]
+
+
 def encoded(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
-    return segment.encode(_table(spark, sf_dir, name), segment.collect_segmenter(vocab_of(spark, sf_dir)))
+    return segment.encode(_table(spark, sf_dir, name), segmenter_of(spark, sf_dir))
 
 
 def _joined(ids: str = "ids"):
@@ -196,7 +216,7 @@ def lattice_edges(spark, sf_dir):
 @query(f"{_encoded()} SELECT unit, array_to_string(ids, ' ') AS ids FROM enc")
 def encode_units(spark, sf_dir):
     units = _table(spark, sf_dir).select(F.explode(T.units(F.col("text"))).alias("text")).distinct()
-    return segment.encode(units, segment.collect_segmenter(vocab_of(spark, sf_dir))).select(F.col("text").alias("unit"), _joined().alias("ids"))
+    return segment.encode(units, segmenter_of(spark, sf_dir)).select(F.col("text").alias("unit"), _joined().alias("ids"))
 
 
 @query(f"{_encoded()} SELECT unit, array_to_string(ids, ' ') AS ids FROM du LEFT JOIN best USING (unit)")
@@ -216,20 +236,20 @@ def encode_conversations(spark, sf_dir):
 
 @query(f"{_encoded()} SELECT id & {T.FLAG - 1} AS token_id, count(*) AS n FROM (SELECT unnest(ids) AS id FROM whole) GROUP BY ALL")
 def token_usage(spark, sf_dir):
-    x = segment.count_ids(_table(spark, sf_dir), segment.collect_segmenter(vocab_of(spark, sf_dir)))
+    x = segment.count_ids(_table(spark, sf_dir), segmenter_of(spark, sf_dir))
     return x.groupBy(T.plain_id(F.col("x")).alias("token_id")).agg(F.sum("n").alias("n"))
 
 
 @query(f"{_encoded()} SELECT count(*) AS n_ids, count(*) FILTER (id & {T.FLAG} <> 0) AS spaced, round(count(*) FILTER (id & {T.FLAG} <> 0) / count(*), 6) AS share FROM (SELECT unnest(ids) AS id FROM whole)")
 def leading_space_share(spark, sf_dir):
-    x = segment.count_ids(_table(spark, sf_dir), segment.collect_segmenter(vocab_of(spark, sf_dir)))
+    x = segment.count_ids(_table(spark, sf_dir), segmenter_of(spark, sf_dir))
     spaced = F.sum(F.when(T.has_space(F.col("x")), F.col("n")).otherwise(0))
     return x.agg(F.sum("n").alias("n_ids"), spaced.alias("spaced"), F.round(spaced / F.sum("n"), 6).alias("share"))
 
 
 @query("SELECT doc_id, text AS decoded FROM documents")
 def decode_docs(spark, sf_dir):
-    return decode.decode(encoded(spark, sf_dir), decode.token_list(vocab_of(spark, sf_dir))).select("doc_id", "decoded")
+    return decode.decode(encoded(spark, sf_dir), tokens_of(spark, sf_dir)).select("doc_id", "decoded")
 
 
 @query("SELECT doc_id, text AS decoded FROM documents")
@@ -239,7 +259,7 @@ def decode_by_join(spark, sf_dir):
 
 @query("SELECT 'lossless' AS status, count(*) AS n FROM documents")
 def roundtrip_audit(spark, sf_dir):
-    return metrics.round_trip(decode.decode(encoded(spark, sf_dir), decode.token_list(vocab_of(spark, sf_dir)), strict=False))
+    return metrics.round_trip(decode.decode(encoded(spark, sf_dir), tokens_of(spark, sf_dir), strict=False))
 
 
 _MEASURED = """m AS (SELECT lang, count(*) AS n_docs, sum(len(ids))::BIGINT AS tokens, sum(length(text))::BIGINT AS chars, sum(strlen(text))::BIGINT AS bytes FROM documents JOIN whole ON doc_id = k GROUP BY lang)"""
@@ -305,7 +325,7 @@ def interleave_random(spark, sf_dir):
 @query()
 def encode_whole(spark, sf_dir):
     """Each text as one stretch; the recursion of the SQL form would hold every path of every text."""
-    x = segment.encode(_table(spark, sf_dir), segment.collect_segmenter(vocab_of(spark, sf_dir)), mode="whole")
+    x = segment.encode(_table(spark, sf_dir), segmenter_of(spark, sf_dir), mode="whole")
     return x.select("doc_id", _joined().alias("ids"))
 
 

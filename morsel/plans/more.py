@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from morsel.functions import text as T
 from morsel.operators import interleave, metrics, seeds, segment, vocabulary
-from morsel.operators.decode import decode, token_list
+from morsel.operators.decode import decode
 from morsel.operators.ranking import top
 from morsel.operators.train import losses, usage
-from morsel.plans.catalog import _COUNTS, _SEED_UNITS, _VOCAB, MAX_BYTES, SHRINK, WEIGHTS, _encoded, _joined, _table, counts_of, query, vocab_of
+from morsel.plans.catalog import _COUNTS, _SEED_UNITS, _VOCAB, MAX_BYTES, SHRINK, WEIGHTS, _encoded, _joined, _table, counts_of, query, segmenter_of, tokens_of, vocab_of
 from morsel.scratch import Scratch
 from morsel.sources import corpus, sample, vocab_files
 from morsel.sources.files import write_bytes
@@ -227,7 +227,7 @@ def later_table_wins(spark, sf_dir):
 @query(f"{_encoded()} SELECT unit, array_to_string(ids, ' ') AS ids FROM enc")
 def encode_shallow(spark, sf_dir):
     """The trie holds three bytes a token; longer tokens are looked up by themselves."""
-    s = segment.collect_segmenter(vocab_of(spark, sf_dir))
+    s = segmenter_of(spark, sf_dir).value
     units = _table(spark, sf_dir).select(F.explode(T.units(F.col("text"))).alias("text")).distinct()
     return segment.encode(units, segment.Segmenter(s.tokens, s.unknown, 3)).select(F.col("text").alias("unit"), _joined().alias("ids"))
 
@@ -250,7 +250,7 @@ def encode_as_stream(spark, sf_dir):
     s = Scratch(spark, "stream")
     table = _table(spark, sf_dir)
     stream = spark.readStream.schema(table.schema).option("pathGlobFilter", "*.parquet").parquet(_as_folder(spark, sf_dir, s))
-    out = streams.encode_stream(stream, segment.collect_segmenter(vocab_of(spark, sf_dir))).select("doc_id", _joined().alias("ids"))
+    out = streams.encode_stream(stream, segmenter_of(spark, sf_dir)).select("doc_id", _joined().alias("ids"))
     streams.write(out, f"{s.root}/out", f"{s.root}/checkpoint").awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{s.root}/out")
 
@@ -370,6 +370,5 @@ def stress_audit(spark, sf_dir):
     """Each case by way of a JSON file, ids and text again."""
     path = f"{Scratch(spark, 'cases').root}/cases.json"
     write_bytes(spark, path, json.dumps(stress_cases()).encode())
-    v = vocab_of(spark, sf_dir)
-    back = decode(segment.encode(corpus.read_cases(spark, path), segment.collect_segmenter(v)), token_list(v), strict=False)
+    back = decode(segment.encode(corpus.read_cases(spark, path), segmenter_of(spark, sf_dir)), tokens_of(spark, sf_dir), strict=False)
     return back.select("case_id", metrics.status_of(F.col("text"), F.col("decoded")).alias("status"))

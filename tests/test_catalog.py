@@ -9,7 +9,7 @@ import __spark_entry__
 from morsel.plans import catalog
 
 SMALL = "/root/testdata/sf0.001"
-SOME = ("normalize_docs", "indent_units", "seed_counts_batched", "vocab_ids", "missing_ascii", "encode_lattice", "encode_docs", "decode_by_join", "parity_vs_en", "page_text", "interleave_weighted")
+SOME = ("normalize_docs", "indent_units", "seed_counts_batched", "vocab_ids", "missing_ascii", "encode_lattice", "encode_docs", "decode_by_join", "parity_vs_en", "page_text", "interleave_weighted", "read_text", "read_jsonl_gz", "vocab_file", "code_pieces", "encode_shallow", "encode_unknown", "training_round", "interleave_credit", "stress_audit")
 
 
 @pytest.fixture(scope="module")
