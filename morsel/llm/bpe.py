@@ -7,7 +7,8 @@ makes each round together, as numpy rows. Words longer than LONG bytes use a hea
 which gives the same parts in n log n instead of n squared.
 
 Cases: a null text gives null ids (count null); an empty text no ids; repeated rows each their own row;
-extra columns are ignored; an unknown id, or bytes that are no UTF-8, decode to null.
+other columns, also ones named as those of the result, are ignored; very long texts and words are encoded whole; of equal ranks the
+leftmost pair merges; a doc_id that is no number is a null id; an empty table gives no rows; an unknown id, or bytes that are no UTF-8, decode to null.
 """
 
 from __future__ import annotations

@@ -10,6 +10,7 @@ parts of that size, and documents pass once a part. Nothing is shuffled and no d
 
 Cases: a null or blank item matches nothing; items with the same text are all reported; a null or empty document has no
 match; a repeated row is reported as often as it is there; an item longer than the document is found only within its edits;
+very long documents are searched whole; of equally near places the distance is the same; an id that is no number is a null id;
 other columns are ignored; empty tables give no rows.
 """
 

@@ -22,7 +22,7 @@ Page text is read once, and only host pairs, counted within each task first, lea
 
 Cases: a page whose URL is null or has no host has null host and values and is kept; null or empty html has no links; ports,
 users and case do not distinguish hosts; links within a host are no edges; without seeds of a kind its values are 0; repeated
-pages count their links each and are judged each; other columns are ignored; an empty table gives no rows.
+pages count their links each and are judged each; very long pages are read whole; equal trust and distrust keep a host; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations

@@ -8,7 +8,8 @@ is there. Scores are sparse dot products through a sigmoid.
 Training reads at most MAX_TRAIN labelled documents (those of least hashed id, a documented bound); scoring reads every
 document whole in one narrow pass that holds 2 ** BITS weights a head, whatever the input.
 
-Cases: a null or empty text has only the bias as a feature in scoring, is not trained on, and is kept or not by that score;
+Cases: very long texts are scored whole; a score equal to a threshold keeps for quality and rejects for toxicity; a doc_id that is no
+number is a null id; a null or empty text has only the bias as a feature in scoring, is not trained on, and is kept or not by that score;
 null labels are not trained on; several labels of a document each count; with no labels of a head, or of one class only, its
 score is the share of that class, 1 (good) or 0 (toxic) if there is none; repeated rows each their own row; an empty table
 gives no rows; other columns pass through drop_low_quality() as they are.

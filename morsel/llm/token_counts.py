@@ -4,7 +4,8 @@ Documents are counted by encoded length. Sums over the suffixes of that histogra
 how many documents reach it, how many tokens they hold, and what truncating to it leaves; no document is read again.
 
 Cases: a null text has no length and is counted in no row; an empty text has length 0; repeated rows count each;
-an empty table gives an empty histogram; extra columns are ignored.
+an empty table gives an empty histogram; very long texts are encoded whole; documents of equal length are one row of the
+histogram; other columns, also ones named as those of the result, are ignored; ids are not read.
 """
 
 from __future__ import annotations

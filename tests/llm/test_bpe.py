@@ -86,3 +86,10 @@ def test_histogram(spark, peer):
     for r in length_quantiles(sums, [0.1, 0.5, 1.0]).collect():
         assert r.n_tokens == min(n for n in lens if sum(x <= n for x in lens) >= r.share * len(lens))
     assert suffix_sums(length_histogram(df.limit(0))).count() == 0
+
+
+def test_histogram_of_clashing_columns_and_very_long_texts(spark, peer):
+    long = "long text, " * 60000
+    df = spark.createDataFrame([("a", 7, long, 1), ("b", 7, "x", 1), (None, 7, "x", 1)], "n_docs string, n_tokens int, text string, doc_id int")
+    got = {r.n_tokens: r.n_docs for r in suffix_sums(length_histogram(df)).collect()}
+    assert got == {len(peer.encode_ordinary(long)): 1, len(peer.encode_ordinary("x")): 2}

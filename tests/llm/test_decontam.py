@@ -60,3 +60,10 @@ def test_documents(spark):
     assert drop_contaminated(docs, bench).columns == docs.columns
     assert contaminated(docs, bench.limit(0)).count() == 0 and contaminated(docs.limit(0), bench).count() == 0
     assert drop_contaminated(docs, bench.limit(0)).count() == len(rows)
+
+
+def test_ids_that_are_no_numbers(spark):
+    item = "a passage of the benchmark that is long enough to be found"
+    docs = spark.createDataFrame([("d1", "x " + item), ("2", item)], "doc_id string, text string")
+    bench = spark.createDataFrame([("b", item)], "item_id string, text string")
+    assert sorted(str((r.doc_id, r.item_id)) for r in contaminated(docs, bench).collect()) == ["(2, None)", "(None, None)"]
