@@ -42,4 +42,9 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, name: str) -> None:
+        """Remove a table that nothing reads any more."""
         _remove(self.spark, f"{self.root}/{name}")
+
+    def clear(self) -> None:
+        """Remove all tables, when what was made of them is written elsewhere."""
+        _remove(self.spark, self.root)
