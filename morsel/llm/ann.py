@@ -315,6 +315,8 @@ def neighbours(vectors: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col:
             yield pa.RecordBatch.from_arrays(cols, names=["cell", "part", "vec_id", "v", "tau"])
 
     rest = ask(first.select("vec_id", "v", "cell", "part", "tau").mapInArrow(route, "cell int, part int, vec_id long, v binary, tau double"), "others")
+    for name in ("rows", "stored", "asked_own", "asked_others"):
+        scratch.drop(name)
     best = first.select("vec_id", "found").unionByName(rest.select("vec_id", "found")).select("vec_id", F.explode("found").alias("x"))
     order = Window.partitionBy("vec_id").orderBy("x.distance", "x.neighbour_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

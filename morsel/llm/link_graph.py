@@ -101,6 +101,8 @@ def propagate(scratch: Scratch, hosts: DataFrame, ways: DataFrame, seeds: DataFr
             break
         if k == JUMP:
             rank = rank.withColumn("value", (F.col("value") - damping**2 * F.col("older")) / (1 - damping**2))
+    for name in ("edges", "steps", "ways", "seeds"):
+        scratch.drop(name)
     total = rank.groupBy("kind").agg(F.sum("value").alias("total"))
     return rank.join(F.broadcast(total), "kind").select("kind", F.col("src").alias("host"), (F.col("value") / F.col("total")).alias("value"))
 

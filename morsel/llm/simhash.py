@@ -367,9 +367,8 @@ def near_pairs(nodes: DataFrame, n: int, radius: int = RADIUS, most: int = MOST)
     return near_links(nodes.withColumn("docs", F.lit(1).cast("long")), n, radius, most).filter("b is not null").select("a", "b").distinct()
 
 
-def _groups(docs: DataFrame, radius: int, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _groups(scratch: Scratch, docs: DataFrame, radius: int, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(doc_id, group_id), fingerprints of documents, distinct ones, and what near_links() finds among them."""
-    scratch = Scratch(docs.sparkSession, "simhash")
     fp = scratch.write(fingerprint_documents(docs, text_col, id_col), "fp")
     nodes = scratch.write(fp.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("docs")), "nodes")
     found = scratch.write(near_links(nodes, nodes.count(), radius), "found")
@@ -386,7 +385,7 @@ def near_duplicate_groups(docs: DataFrame, radius: int = RADIUS, text_col: str =
     documents that are within the radius of this one, copies among them.
     Texts are read once, by the fingerprint pass; all that is shuffled is fingerprints.
     """
-    groups, fp, nodes, found = _groups(docs, radius, text_col, id_col)
+    groups, fp, nodes, found = _groups(Scratch(docs.sparkSession, "simhash"), docs, radius, text_col, id_col)
     sized = groups.join(groups.groupBy("group_id").agg(F.count("*").alias("group_size")), "group_id")
     links = nodes.select("hi", "lo", (F.col("docs") - 1).alias("links")).unionByName(found.filter("b is null").select("hi", "lo", "links")).groupBy("hi", "lo").agg(F.sum("links").alias("links"))
     each = fp.join(links.filter("links > 0"), ["hi", "lo"]).groupBy("doc_id").agg(F.sum("links").alias("n_links"))
@@ -400,6 +399,8 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, text_col: str =
     together. The ids to drop are a written table, which Spark broadcasts only if its size allows.
     """
     scratch = Scratch(docs.sparkSession, "simhash-drop")
-    groups = _groups(docs, radius, text_col, id_col)[0]
+    work = Scratch(docs.sparkSession, "simhash")
+    groups = _groups(work, docs, radius, text_col, id_col)[0]
     drop = scratch.write(groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop")), "drop")
+    work.clear()
     return docs.join(drop, docs[id_col].try_cast("long") == drop["__drop"], "left_anti")
