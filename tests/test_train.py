@@ -178,3 +178,23 @@ def test_tokens_longer_than_any_constant_are_used(spark):
     tokens = spark.createDataFrame(list(lp.items()), "token string, log_prob float")
     got = {r["token"]: r["usage"] for r in usage(spark.createDataFrame([(word, 3), ("z" + word, 2), (word + "z", 1)], "unit string, n long"), tokens).collect()}
     assert got == {word: 4}
+
+
+def test_seed_counts_of_large_batches(spark, monkeypatch):
+    """Batches of one task, and those that are taken apart by what substrings begin with, against plain Python; nulls are a batch."""
+    texts = ["ab abc\r\nabcd  x", "xabc é日é", "é日é ab", " ", "abcd", "zz zz", None, "ab abcde"]
+    rows = [(k if k != 5 else None, t) for k, t in enumerate(texts)]
+    want = Counter()
+    for batch in ([0, 1, 2], [3, 4], [6, 7], [5]):
+        got = brute_counts([texts[k] for k in batch], 5)
+        want.update({t: n for t, n in got.items() if n >= 2 or len(t) == 1})
+    d = spark.createDataFrame(rows, "doc_id int, text string")
+    for most in (4096, 1):
+        monkeypatch.setattr(seeds, "ONE_TASK", most)
+        assert {r["token"]: r["cnt"] for r in seeds.seed_counts(d, 5, 2, batch=3).collect()} == want
+
+
+def test_seed_counts_drop_what_is_rare_with_its_longer_forms():
+    data = np.frombuffer("abcabdéx".encode(), np.uint8)
+    got = {data[p : p + k].tobytes().decode(): n for at, k, c in seeds.prefix_counts(data, np.array([0, 3, 6]), np.array([3, 6, 9]), np.array([1, 2, 1]), 3) for p, n in zip(at.tolist(), c.tolist())}
+    assert got == {"a": 3, "ab": 3, "é": 1}
