@@ -212,3 +212,18 @@ def test_usage_of_more_tokens_than_workers_hold(spark, monkeypatch):
     got = {r["token"]: r["usage"] for r in train.usage(pieces, tokens, most=3).collect()}
     assert got == {r["token"]: r["usage"] for r in train.usage(pieces, tokens).collect()}
     assert got == {t: n for t, n in brute_usage(units, {t: np.float32(p) for t, p in lp.items()}).items() if t}
+
+
+def test_rank_within_brings_no_group_together(spark, request):
+    """Groups that span ranges, a null one, and a plan in which no rows are hashed by their group alone."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    rows = [("en" if k % 5 else None if k % 2 else "de", k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g string, x long").repartition(5)
+    out = rank_within(df, "g", [F.asc("x")], Scratch(spark, "within"))
+    seen, want = Counter(), {}
+    for g, k in rows:
+        want[k], seen[g] = seen[g], seen[g] + 1
+    assert {r["x"]: r["rank"] for r in out.collect()} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
