@@ -227,3 +227,18 @@ def test_rank_within_brings_no_group_together(spark, request):
     assert {r["x"]: r["rank"] for r in out.collect()} == want
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+
+
+def test_rounds_by_counts_at_once(spark, monkeypatch):
+    """The vocabulary of rounds one by one, with fewer tables; and the fewest rows that a count can rank."""
+    from morsel.operators import train
+
+    d = docs(spark, TEXTS * 3 + ["abcdefgh ijklmnop " * 3, "abcdeh ijknop qrs" * 2])
+    made = lambda: {(bytes(r["token"]), r["token_id"], r["log_prob"]) for r in train_vocab(d, vocab_size=1340, max_bytes=8, symbols=False, usage_most=0).collect()}
+    spied = []
+    whole = train._count_rounds
+    monkeypatch.setattr(train, "_count_rounds", lambda *a: spied.append(whole(*a)) or spied[-1])
+    at_once = made()
+    assert spied[0][0] is not None
+    monkeypatch.setattr(train, "_count_rounds", lambda *a: (None, a[1]))
+    assert at_once == made()
