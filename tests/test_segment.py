@@ -219,3 +219,33 @@ def test_counts_are_those_of_the_ids(spark):
     df = spark.createDataFrame([(c,) for c in [*CASES, None]], "text string")
     want = Counter(i for c in CASES for i in t.encode(c))
     assert {r["x"]: r["n"] for r in segment.count_ids(df, t.segmenter).collect()} == dict(want)
+
+
+def test_long_tokens_are_found_without_a_walk_in_python():
+    """Tokens beyond the trie's depth by hashes of windows, as the whole trie finds them; the tables hold no dictionary to walk."""
+    import numpy as np
+
+    from morsel.operators.kernel import Trie
+
+    tokens = [b"a", b"abca", b"bcab", b"abcab", b"\xc3\xa9abc", b"cabc", b"b"]
+    data = np.frombuffer(b"abcabcab\xc3\xa9abcabca", np.uint8)
+    limit = np.repeat(np.array([7, len(data)]), [7, len(data) - 7]).astype(np.int32)
+    found = [sorted(zip(*(x.tolist() for x in Trie(tokens, d).matches(data, limit)))) for d in (None, 3, 1)]
+    assert found[0] == found[1] == found[2] and len(found[0]) > 8
+    assert all(isinstance(x, tuple) for x in Trie(tokens, 3).long.values())
+
+
+def test_slices_of_a_batch_give_the_same_ids(monkeypatch):
+    """However few bytes are worked on together, with nulls and empty texts, and no more of them at once."""
+    import pyarrow as pa
+
+    from morsel.operators import segment
+
+    s = segment.Segmenter({b"<unk>": (0, 0.0), b" ": (1, -1.0), b"a": (2, -1.0), b"ab": (3, -2.0), b"b": (4, -1.5)})
+    texts = pa.array(["ab a", None, "", "  b ab", "aabb x", "", None], pa.string())
+    want = segment.id_lists(s, texts).to_pylist()
+    sizes, once = [], s.encode_texts
+    monkeypatch.setattr(s, "encode_texts", lambda raw, off, whole: sizes.append(len(raw)) or once(raw, off, whole))
+    monkeypatch.setattr(segment, "SLICE", 5)
+    assert segment.id_lists(s, texts).to_pylist() == want and want[1] is None and want[2] == []
+    assert max(sizes) <= 6
