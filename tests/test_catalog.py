@@ -37,3 +37,8 @@ def test_entry_and_names(spark, con):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
+
+
+def test_counts_are_made_once(spark, con):
+    plan = catalog.counts_of(spark, SMALL)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan

@@ -249,3 +249,20 @@ def test_slices_of_a_batch_give_the_same_ids(monkeypatch):
     monkeypatch.setattr(segment, "SLICE", 5)
     assert segment.id_lists(s, texts).to_pylist() == want and want[1] is None and want[2] == []
     assert max(sizes) <= 6
+
+
+def _no_paths(monkeypatch):
+    def refuse(*_):
+        raise AssertionError("a word went by Paths")
+
+    monkeypatch.setattr(segment.Segmenter, "_paths", refuse)
+
+
+def test_words_grow_by_tokens(monkeypatch):
+    t = tok(("a", -1.0), ("b", -1.5), ("c", -2.0), ("é", -1.0), ("ab", -1.25), ("bc", -1.75), ("abc", -9.0), ("ca", -0.5), ("<unk>", 0.0))
+    texts = ["abcab caabc", "b", "éab abé  abca", "", " ab bcbcca"]
+    want = [[i for u in segment._UNIT.findall(x) for i in t.segmenter.segment(u.encode())] for x in texts]
+    assert [t.segmenter.encode(x).tolist() for x in texts] == want
+    t.segmenter._fresh()
+    _no_paths(monkeypatch)
+    assert [t.segmenter.encode(x).tolist() for x in texts if "  " not in x] == [w for x, w in zip(texts, want) if "  " not in x]
