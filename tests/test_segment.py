@@ -266,3 +266,21 @@ def test_words_grow_by_tokens(monkeypatch):
     t.segmenter._fresh()
     _no_paths(monkeypatch)
     assert [t.segmenter.encode(x).tolist() for x in texts if "  " not in x] == [w for x, w in zip(texts, want) if "  " not in x]
+
+
+def test_whole_words_with_clear_paths_are_made_once(monkeypatch):
+    t = tok(("a", -1.0), ("b", -1.5), (" ", -3.0), ("ab", -1.25), ("ba", -4.75), ("x", -2.0))
+    texts = ["abab ba bab", " xab ab", ""] * 3
+    want = [t.segmenter.segment(x.encode()) for x in texts]
+    _no_paths(monkeypatch)
+    assert [t.segmenter.encode(x, True).tolist() for x in texts] == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="ab ", max_size=9), max_size=40), st.integers(0, 3))
+def test_whole_ties_are_those_of_one_walk(parts, kind):
+    cost = [[-0.1] * 9, [-0.3, -0.1, -0.2, -0.7] * 3, [-1000.1, -0.1, -999.9, -0.2] * 3, [0.5, -0.25, 0.75] * 3][kind]
+    words = ["a", "b", " ", "ab", "ba", "aab", "bb", "aa", "  "]
+    t = tok(*zip(words, cost))
+    text = "aabab abba " * 30 + " ".join(parts)
+    assert t.segmenter.encode(text, True).tolist() == t.segmenter.segment(text.encode())
