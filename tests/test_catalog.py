@@ -42,3 +42,8 @@ def test_entry_and_names(spark, con):
 def test_counts_are_made_once(spark, con):
     plan = catalog.counts_of(spark, SMALL)._jdf.queryExecution().toString()
     assert "MapInArrow" not in plan
+
+
+def test_lattice_counts_units_once_and_folds_no_maps(spark, con):
+    plan = catalog.encode_lattice(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "map_concat" not in plan

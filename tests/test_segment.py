@@ -284,3 +284,14 @@ def test_whole_ties_are_those_of_one_walk(parts, kind):
     t = tok(*zip(words, cost))
     text = "aabab abba " * 30 + " ".join(parts)
     assert t.segmenter.encode(text, True).tolist() == t.segmenter.segment(text.encode())
+
+
+def test_lattice_in_small_parts(spark, monkeypatch):
+    """Slices of a few edges, units in more than one byte a character, and null where no path reaches the end."""
+    monkeypatch.setattr(segment, "EDGES", 4)
+    words = [("a", -1.0), ("é", -1.5), (" ", -2.0), ("aé", -1.25), ("éa", -1.75), ("aéa", -3.0), ("  ", -1.0)]
+    vocab = spark.createDataFrame([(i, w.encode(), p) for i, (w, p) in enumerate(words)], "token_id int, token binary, log_prob float")
+    units = ["a", " aéa", "éaéa", "   ", " ", "ax", "x", "aéaaéaéé"]
+    rows = segment.lattice_encode(spark.createDataFrame([(u,) for u in units], "unit string").coalesce(1), vocab).collect()
+    t = tok(*words)
+    assert {r["unit"]: r["ids"] for r in rows} == {u: None if "x" in u else t.segmenter.segment(u.encode()) for u in units}
