@@ -23,7 +23,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from morsel.llm.common import blocks, ranges
+from morsel.llm.common import BLOCK, blocks, ranges
 
 RANKS_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -285,7 +285,7 @@ def _encode_batches(it: Iterator[pa.RecordBatch], path: str, check: bool) -> Ite
     for batch in it:
         key, text = batch.column(0), batch.column(1)
         size = np.diff(np.frombuffer(text.buffers()[1], dtype=np.int32)[text.offset : text.offset + len(text) + 1]) if len(text) else np.zeros(0, np.int32)
-        for i, j in blocks(size.astype(np.int64), 1 << 21):
+        for i, j in blocks(size.astype(np.int64), BLOCK):
             part = text.slice(i, j - i)
             texts = part.fill_null("").to_pylist()
             ids, off = enc.encode(texts)

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from morsel.llm.common import U64, Scratch, blocks, hash_spans, mix64, ranges, text_buffer, words
+from morsel.llm.common import BLOCK, U64, Scratch, blocks, hash_spans, mix64, ranges, text_buffer, words
 from morsel.llm.components import connected_components
 
 BITS, RADIUS = 128, 20
@@ -84,21 +84,21 @@ def fingerprints(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, has
 
 
-def fingerprint_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, hi, lo) of every document that has a fingerprint; one narrow pass."""
+def _fingerprint_batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        size = np.diff(text_buffer(batch.column(1))[1])
+        # rows without text count as some, so that a block has fewer rows than a key has places for
+        for i, j in blocks(np.maximum(size, 4), BLOCK):
+            fp, has = fingerprints(batch.column(1).slice(i, j - i))
+            mask = pa.array(has)
+            cols = [batch.column(0).slice(i, j - i), *(pa.array(fp[:, k].view(np.int64)) for k in (0, 1))]
+            yield pa.RecordBatch.from_arrays([c.filter(mask) for c in cols], names=["doc_id", "hi", "lo"])
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            size = np.diff(text_buffer(batch.column(1))[1])
-            # rows without text count as some, so that a block has fewer rows than a key has places for
-            for i, j in blocks(np.maximum(size, 4), 1 << 21):
-                fp, has = fingerprints(batch.column(1).slice(i, j - i))
-                mask = pa.array(has)
-                cols = [batch.column(0).slice(i, j - i), *(pa.array(fp[:, k].view(np.int64)) for k in (0, 1))]
-                yield pa.RecordBatch.from_arrays([c.filter(mask) for c in cols], names=["doc_id", "hi", "lo"])
 
+def fingerprint_documents(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, hi, lo) of every document that has a fingerprint; one narrow pass."""
     slim = docs.select(docs[id_col].try_cast("long").alias("doc_id"), F.lower(docs[text_col]).alias("text")).filter("doc_id is not null and text is not null")
-    return slim.mapInArrow(run, "doc_id long, hi long, lo long")
+    return slim.mapInArrow(_fingerprint_batches, "doc_id long, hi long, lo long")
 
 
 def plan_segments(n: int, radius: int) -> list[tuple[int, int, int]]:
@@ -367,14 +367,18 @@ def near_pairs(nodes: DataFrame, n: int, radius: int = RADIUS, most: int = MOST)
     return near_links(nodes.withColumn("docs", F.lit(1).cast("long")), n, radius, most).filter("b is not null").select("a", "b").distinct()
 
 
-def _groups(scratch: Scratch, docs: DataFrame, radius: int, text_col: str, id_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(doc_id, group_id), fingerprints of documents, distinct ones, and what near_links() finds among them."""
-    fp = scratch.write(fingerprint_documents(docs, text_col, id_col), "fp")
+def _groups(scratch: Scratch, docs: DataFrame, radius: int, text_col: str, id_col: str, last: Scratch | None = None) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(doc_id, group_id), fingerprints of documents, distinct ones, and what near_links() finds among them. The groups lie in `last`, if given.
+
+    Narrow rows of many tasks are put together before they are written. For each folder and file that a task makes, Hadoop's local
+    file system starts chmod, and until that runs, a sum over processes counts the executor's memory twice.
+    """
+    fp = scratch.write(fingerprint_documents(docs, text_col, id_col).hint("rebalance"), "fp")
     nodes = scratch.write(fp.groupBy("hi", "lo").agg(F.min("doc_id").alias("node"), F.count("*").alias("docs")), "nodes")
-    found = scratch.write(near_links(nodes, nodes.count(), radius), "found")
+    found = scratch.write(near_links(nodes, nodes.count(), radius).hint("rebalance"), "found")
     # copies, and further rows of a doc_id, tie fingerprints together
     ties = fp.join(nodes, ["hi", "lo"]).filter("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
-    groups = connected_components(scratch, scratch.write(found.filter("b is not null").select("a", "b").unionByName(ties).distinct(), "pairs"))
+    groups = connected_components(last or scratch, scratch.write(found.filter("b is not null").select("a", "b").unionByName(ties).distinct(), "pairs"))
     return groups, fp, nodes, found
 
 
@@ -396,11 +400,10 @@ def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS, text_col: str =
     """The rows of docs, with all their columns, but one document of each group only: that of the smallest doc_id.
 
     Rows that are in no group stay, those with a null doc_id among them. Rows that share a doc_id are one document and stay or go
-    together. The ids to drop are a written table, which Spark broadcasts only if its size allows.
+    together. The ids to drop are those of the groups, a written table, which Spark broadcasts only if its size allows.
     """
-    scratch = Scratch(docs.sparkSession, "simhash-drop")
     work = Scratch(docs.sparkSession, "simhash")
-    groups = _groups(work, docs, radius, text_col, id_col)[0]
-    drop = scratch.write(groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop")), "drop")
+    groups = _groups(work, docs, radius, text_col, id_col, Scratch(docs.sparkSession, "simhash-drop"))[0]
     work.clear()
+    drop = groups.filter("doc_id <> group_id").select(F.col("doc_id").alias("__drop"))
     return docs.join(drop, docs[id_col].try_cast("long") == drop["__drop"], "left_anti")

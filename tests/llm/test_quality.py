@@ -1,4 +1,7 @@
+import tracemalloc
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -87,3 +90,34 @@ def test_ids_that_are_no_numbers(spark):
     labels = spark.createDataFrame([("d1", 1, 0), ("2", 0, 1)], "doc_id string, quality int, toxic int")
     got = Q.score_documents(docs, Q.fit(docs, labels)).collect()
     assert {r.doc_id for r in got} == {None, 2}
+
+
+def _peak(f):
+    tracemalloc.start()
+    try:
+        return f(), tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_scores_hold_few_bytes_of_a_batch():
+    rng = np.random.default_rng(6)
+    text = pa.array([" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(3000)])
+    models = [Q.Model(rng.normal(size=1 << Q.BITS).astype(np.float32), 0.1), Q.Model(np.zeros(1 << Q.BITS, np.float32), -1.0, True)]
+    assert text.nbytes > 6e6
+    (q, t), peak = _peak(lambda: Q._scored(text, models))
+    assert peak < 40e6 and len(q) == len(t) == 3000
+    assert q == pytest.approx(Q.scores(text, models)[0])
+
+
+def test_order_of_training_rows_holds_no_copy():
+    """Places decide only among rows that are equal otherwise, and only theirs are copied."""
+    rng = np.random.default_rng(7)
+    place = [rng.integers(0, 1 << 20, 5000).astype(np.int32) for _ in range(400)]
+    key, quality = [i // 2 if i < 20 else i for i in range(400)], [1.0 if i % 4 < 2 else None for i in range(400)]
+    pdf = pd.DataFrame({"key": key, "quality": quality, "place": place})
+    want = sorted(range(400), key=lambda i: (key[i], place[i].tobytes()))
+    for seed in range(3):
+        got, peak = _peak(lambda: Q._ordered(pdf.sample(frac=1, random_state=seed), ["quality"]))
+        assert [x.tobytes() for x in got["place"]] == [place[i].tobytes() for i in want]
+        assert peak < 4e6

@@ -1,3 +1,6 @@
+import glob
+import tracemalloc
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -5,7 +8,7 @@ import pytest
 from morsel.llm.common import U64, Scratch, hash_spans, words, text_buffer
 from morsel.llm.components import connected_components
 from morsel.llm.common import mix64
-from morsel.llm.simhash import BITS, MOST, RADIUS, copies, fingerprints, near_duplicate_groups, near_links, near_pairs, plan_high, plan_segments
+from morsel.llm.simhash import BITS, MOST, RADIUS, _fingerprint_batches, copies, drop_near_duplicates, fingerprints, near_duplicate_groups, near_links, near_pairs, plan_high, plan_segments
 
 DOC = "doc_id long, text string"
 
@@ -135,3 +138,39 @@ def test_fingerprint_by_definition():
     assert has.tolist() == [True, True, False, False, True]
     again, _ = fingerprints(pa.array(["pad " * 50, *texts]))
     assert (again[1:] == fp).all()
+
+
+def test_narrow_tables_are_few_files(spark, monkeypatch):
+    """What many tasks make is put together before it is written: each file and folder costs the executor a process."""
+    files, write = {}, Scratch.write
+
+    def counted(self, df, name):
+        out = write(self, df, name)
+        files[name] = len(glob.glob(f"{self.root.removeprefix('file:')}/{name}/*.parquet"))
+        return out
+
+    monkeypatch.setattr(Scratch, "write", counted)
+    rng = np.random.default_rng(3)
+    vocab = [f"w{i}x" for i in range(3000)]
+    text = [" ".join(rng.choice(vocab, 200)) for _ in range(100)]
+    rows = list(enumerate(text)) + [(200 + i, t + " more") for i, t in enumerate(text[:40])] + [(300, text[0])]
+    df = spark.createDataFrame(rows, DOC).repartition(8)
+    kept = drop_near_duplicates(df)
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(100))
+    assert files["fp"] <= 2 and files["found"] <= 2 and "drop" not in files
+
+
+def test_fingerprints_hold_few_bytes_of_a_batch():
+    rng = np.random.default_rng(4)
+    text = pa.array([" ".join(map(str, rng.integers(0, 10**6, 300))) for _ in range(3000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), text], names=["doc_id", "text"])
+    assert text.nbytes > 6e6
+    tracemalloc.start()
+    try:
+        got = pa.Table.from_batches(_fingerprint_batches(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    whole, _ = fingerprints(text)
+    assert got["hi"].to_pylist() == whole[:, 0].view(np.int64).tolist() and got["doc_id"].to_pylist() == list(range(3000))
+    assert peak < 40e6
